@@ -25,6 +25,8 @@ from .common import table, words, written
 
 #: The order of an epoch: hex digits of md5(seed:epoch:id). Ranges are its first RANGE_DIGITS digits.
 RANGE_DIGITS, SEED = 3, 42
+#: The leaves' budgets are broadcast up to so many rows, about 100 bytes each.
+BROADCAST_LEAVES = 100_000
 PATH = ("domain", "lang", "source")
 
 
@@ -84,11 +86,14 @@ def mix(docs: DataFrame, weight, total_share: float, max_epochs: int = 2, path:
     own = dict(sizes)
     rows = [(*p, e, float(plan[p] - e * own[p])) for p in plan for e in range(max_epochs) if plan[p] - e * own[p] > 1e-9]
     shape = ", ".join(f"{k} string" for k in ks) + ", epoch int, leaf_budget double"
-    # a row a leaf and epoch: Spark broadcasts it while it is under its own threshold
-    wanted = named.join(spark.createDataFrame(rows, shape), ks)
+    # a row a leaf and epoch; were it joined by a shuffle on the leaf, a hot leaf would stay in that one partition below
+    targets = spark.createDataFrame(rows, shape)
+    wanted = named.join(F.broadcast(targets) if len(rows) <= BROADCAST_LEAVES else targets, ks)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     wanted = wanted.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS)).withColumn("_tokens", tokens)
     cell = [*ks, "epoch", "_range"]
+    if len(rows) > BROADCAST_LEAVES:
+        wanted = wanted.repartition(*cell)
     sums = wanted.groupBy(*cell).agg(F.sum("_tokens").alias("_sum"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*ks, "epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inside = F.coalesce(F.sum("_tokens").over(Window.partitionBy(*cell).orderBy("_order", id_col, *extra_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
