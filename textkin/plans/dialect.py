@@ -83,7 +83,7 @@ class SparkDialect:
         return f"try_cast({x} AS DOUBLE)"
 
     def epoch(self, x: str) -> str:
-        return f"unix_micros({x})"
+        return f"unix_micros(CAST({x} AS TIMESTAMP))"
 
     def json_int(self, x: str, key: str) -> str:
         return f"CAST(get_json_object({x}, '$.{key}') AS BIGINT)"
