@@ -1,0 +1,67 @@
+"""Pairs of similar items: exact Jaccard joins by prefix filtering, analogs, and greedy duplicate groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.shared import written
+
+
+def token_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, terms): the distinct tokens of a text, sorted. Texts without a token are left out: they resemble nothing."""
+    terms = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
+    return df.select(F.col(id_col).alias("id"), terms.alias("terms")).where(F.size("terms") > 0)
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(class_id, terms, n): items of equal token sets as one, named by the least id. Copies never meet in a join."""
+    return sets.groupBy("terms").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).select("class_id", "terms", "n")
+
+
+def jaccard_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) for all pairs a < b of reps(class_id, terms) with a Jaccard similarity of at least threshold.
+
+    A set's tokens are ordered from rare to frequent. Two sets that similar share a token among the first
+    n - ceil(threshold n) + 1 of each, and their sizes differ by no more than that factor, so only those tokens are
+    joined: frequent tokens rarely are among them. The result is exact; nothing is capped."""
+    reps = written(reps.select("class_id", "terms", F.size("terms").alias("n")))
+    tokens = reps.select("class_id", "n", F.explode("terms").alias("term"))
+    df = tokens.groupBy("term").agg(F.count("*").alias("df"))
+    ranked = tokens.join(df, "term").where("df > 1").withColumn("after", F.row_number().over(Window.partitionBy("class_id").orderBy(F.col("df").desc(), F.col("term").desc())))
+    # tokens in one set only have the first ranks and no partner; a set's prefix is counted from the frequent end
+    prefix = ranked.where(F.col("after") >= F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))).select("class_id", "n", "term")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    near = (F.col("x.term") == F.col("y.term")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("y.n") >= F.col("x.n") * threshold) & (F.col("x.n") >= F.col("y.n") * threshold)
+    candidates = x.join(y, near).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
+    left, right = (reps.select(F.col("class_id").alias(k), F.col("terms").alias(f"t{k}")) for k in "ab")
+    common = F.size(F.array_intersect("ta", "tb"))
+    score = common / (F.size("ta") + F.size("tb") - common)
+    return candidates.join(left, "a").join(right, "b").select("a", "b", score.alias("score")).where(F.col("score") >= threshold - 1e-12)
+
+
+def analogs(pairs: DataFrame, k: int = 100) -> DataFrame:
+    """(id, other, score, rank): both directions of pairs, the k best of each."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").union(pairs.select("b", "a", "score"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "other"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def greedy_groups(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(main, member): in ascending id, an item not yet absorbed absorbs its later neighbours that aren't either.
+
+    Each round makes mains of the items without an undecided smaller neighbour, and absorbs those mains' neighbours."""
+    edges = written(pairs.select("a", "b").distinct())
+    taken = None
+    for _ in range(max_rounds):
+        smaller = edges.select(F.col("b").alias("id")).distinct()
+        mains = edges.select(F.col("a").alias("id")).distinct().join(smaller, "id", "left_anti")
+        absorbed = edges.join(mains.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("a").alias("main")).select("main", F.col("b").alias("member"))
+        absorbed = written(absorbed)
+        taken = absorbed if taken is None else taken.union(absorbed)
+        gone = absorbed.select(F.col("member").alias("id"))
+        decided = written(gone.union(mains).distinct())
+        edges = written(edges.join(decided.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        if edges.isEmpty():
+            return taken
+    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
