@@ -10,8 +10,8 @@ The tree's rows (a leaf each: path, tokens) come to the driver; their number is
 documents. Documents are ranked without a task per leaf: the seeded hash cuts a leaf in ranges, whose token sums are
 added up first, so a leaf that holds a third of all rows is many tasks.
 
-Null texts have no tokens and are taken with whatever stands at their place; null path values are a leaf of their own. A
-row is drawn once an epoch, and repeated rows are rows of their own. An empty table gives an empty table.
+Null texts have no tokens and are taken with whatever stands at their place; a leaf without a token gives nothing; null
+path values are a leaf of their own. A row is drawn once an epoch, and repeated rows are rows of their own. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import table, words, written
 
-#: The order of an epoch: hex digits of md5(seed:epoch:id). Ranges are its first RANGE_DIGITS digits.
-RANGE_DIGITS, SEED = 3, 42
+#: The order of an epoch: hex digits of md5(seed:epoch:id). Ranges are as many of its first digits as leave about RANGE_ROWS rows
+#: of the largest leaf in each, between 2 and 5 digits.
+RANGE_ROWS, SEED = 4000, 42
 #: The leaves' budgets are broadcast up to so many rows, about 100 bytes each.
 BROADCAST_LEAVES = 100_000
 PATH = ("domain", "lang", "source")
@@ -77,20 +78,23 @@ def mix(docs: DataFrame, weight, total_share: float, max_epochs: int = 2, path:
 
     The budget is total_share of all tokens."""
     spark = docs.sparkSession
+    docs = docs.drop("epoch", "leaf_budget", "tokens_before")  # a column called like an output is replaced
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in path]
     named = docs.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
     ks = [f"_k{i}" for i in range(len(path))]
     tokens = F.coalesce(F.col(tokens_col), F.lit(0))
-    sizes = [(tuple(r[:-1]), float(r[-1])) for r in named.groupBy(*ks).agg(F.sum(tokens)).collect()]
+    leaves = named.groupBy(*ks).agg(F.count("*"), F.sum(tokens)).collect()
+    sizes = [(tuple(r[: len(path)]), float(r[-1])) for r in leaves]
+    digits = next((k for k in range(2, 5) if max((r[-2] for r in leaves), default=0) <= RANGE_ROWS * 16**k), 5)
     plan = budgets(sizes, weight, total_share * sum(t for _, t in sizes), max_epochs)
     own = dict(sizes)
-    rows = [(*p, e, float(plan[p] - e * own[p])) for p in plan for e in range(max_epochs) if plan[p] - e * own[p] > 1e-9]
+    rows = [] if not sizes else [(*p, e, float(plan[p] - e * own[p])) for p in plan for e in range(max_epochs) if plan[p] - e * own[p] > 1e-9]
     shape = ", ".join(f"{k} string" for k in ks) + ", epoch int, leaf_budget double"
     # a row a leaf and epoch; were it joined by a shuffle on the leaf, a hot leaf would stay in that one partition below
     targets = spark.createDataFrame(rows, shape)
     wanted = named.join(F.broadcast(targets) if len(rows) <= BROADCAST_LEAVES else targets, ks)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    wanted = wanted.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS)).withColumn("_tokens", tokens)
+    wanted = wanted.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, digits)).withColumn("_tokens", tokens)
     cell = [*ks, "epoch", "_range"]
     if len(rows) > BROADCAST_LEAVES:
         wanted = wanted.repartition(*cell)

@@ -81,8 +81,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     grad = lambda x, s: np.append(x.T @ s, s.sum()) / len(x)
     for t in range(1, steps + 1):
-        sp, su = sigmoid(p @ w[:-1] + w[-1]), sigmoid(u @ w[:-1] + w[-1])
-        negative = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
+        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        sp, su = sigmoid(zp), sigmoid(zu)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         of_negative = grad(u, su) - prior * grad(p, sp)
         g = prior * grad(p, sp - 1) + of_negative if negative >= 0 else -of_negative
         g[:-1] += DECAY * w[:-1]

@@ -64,6 +64,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 1e-3) -> list[int
 
 def histogram_shards(df: DataFrame, shards: int, key_col: str, size_col: str, tolerance: float = 1e-3, order: tuple[str, ...] = ()) -> DataFrame:
     """df with shard (from 0) and slot (gapless from 0 in the order of the key, then of `order`)."""
+    df = df.drop(*({"shard", "slot"} - {key_col, size_col}))  # a column called like an output is replaced
     rows = df.select(F.coalesce(F.col(key_col), F.lit(0)).alias("key"), F.coalesce(F.col(size_col), F.lit(0)).alias("size"))
     cuts = splitters(rows, shards, tolerance)
     key = F.coalesce(F.col(key_col), F.lit(0))

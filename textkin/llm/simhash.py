@@ -46,15 +46,16 @@ def fingerprint(data: bytes | None, words_per_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """(id, fp) for each row, fp the fingerprint's bits as a signed long."""
+    """(id, text_hash, fp) for each row, fp the fingerprint's bits as a signed long."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(x, words_per_shingle) for x in b["data"]], np.uint64)
-            yield pd.DataFrame({"id": b["id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "fp": fp.view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("data")).mapInPandas(run, "id string, fp long").select(F.col("id").cast(kind).alias("id"), "fp")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).cast("binary").alias("data"))
+    return rows.mapInPandas(run, "id string, text_hash long, fp long").select(F.col("id").cast(kind).alias("id"), "text_hash", "fp")
 
 
 def bit_groups(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -207,7 +208,7 @@ def links(unique: DataFrame, radius: int = 3, parts: int | None = None) -> DataF
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(id_col, fp, fingerprint, component_id), a row for each row of docs.
+    """(id_col, text_hash, fp, fingerprint, component_id), a row for each row of docs.
 
     Equal fingerprints are one node, however many rows have them. The last join is from rows to distinct fingerprints;
     a fingerprint that a third of the rows have is split by adaptive execution."""
@@ -217,15 +218,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = unique.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = grouped.where("root <> fp").select("root", "least").union(grouped.join(roots.select("root").distinct().withColumnRenamed("root", "fp"), "fp", "left_semi").select(F.col("fp").alias("root"), "least")).groupBy("root").agg(F.min("least").alias("name"))
     named = written(grouped.join(names, "root", "left").select("fp", F.coalesce("name", "least").alias("component_id")))
-    return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), "text_hash", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
     """docs less all but the row of the least id of each component; of rows equal in id and text one stays."""
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words_per_shingle, radius)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays"))
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays"), F.col("text_hash").alias("_stays_hash"))
     marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
+    return marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_hash") == F.col("_stays_hash")), "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
