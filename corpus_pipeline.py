@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from textkin.llm import bpe, line_rules, mixing, quality_model, simhash
 from textkin.llm.common import table, words, written
 
-#: Near-duplicates in the pipeline: shingles of five words, at most three of 64 bits apart (a cosine of 0.989 or more).
-SHINGLE, RADIUS = 5, 3
+#: Near-duplicates in the pipeline: sets of five-word shingles with a similarity of 0.8 or more.
+SHINGLE, SIMILARITY = 5, 0.8
 #: The mix holds this share of the tokens that reach it, a leaf at most twice.
 MIX_SHARE, MAX_EPOCHS = 0.8, 2
 
@@ -29,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each SimHash component, one row of it."""
-    return simhash.deduplicated(docs, words_per_shingle=SHINGLE, radius=RADIUS)
+    return simhash.deduplicated(docs, words_per_shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

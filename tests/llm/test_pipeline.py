@@ -1,7 +1,11 @@
 """The pipeline's stages against plain versions of them."""
 
+import itertools
+import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as P
 from textkin.llm import line_rules, quality_model, simhash
 from textkin.llm.common import bucket_of, connected_components, written
@@ -21,24 +25,19 @@ def test_stages(spark):
     kept = {r.doc_id for r in second.collect()}
     assert second.columns == columns and sum(labels.get(i) == 1 and i not in kept for i in held) <= 1
     third = written(P.near_dedup(spark, second, SF))
-    groups = {}
-    for r in second.collect():
-        groups.setdefault(simhash.fingerprint(r.text.encode(), 5), []).append(r.doc_id)
-    root = {f: f for f in groups}
+    rows = {r.doc_id: simhash.wide_fingerprint(r.text.encode(), P.SHINGLE) for r in second.collect()}
+    root = {i: i for i in rows}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in groups:
-        for b in groups:
-            if a < b and (a ^ b).bit_count() <= 3:
-                root[max(find(a), find(b))] = min(find(a), find(b))
-    least = {}
-    for f, ids in groups.items():
-        least[find(f)] = min([*ids, least.get(find(f), 1 << 60)])
-    assert third.columns == columns and sorted(r.doc_id for r in third.collect()) == sorted(least.values())
+    for a, b in itertools.combinations(sorted(rows), 2):
+        if np.bitwise_count(rows[a] ^ rows[b]).sum() <= simhash.bits_at(P.SIMILARITY):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert third.columns == columns and sorted(r.doc_id for r in third.collect()) == sorted({find(i) for i in rows})
     fourth = written(P.mix_sources(spark, third, SF))
     assert fourth.columns == columns and 0 < fourth.count()
     assert max(Counter(r.doc_id for r in fourth.collect()).values()) <= P.MAX_EPOCHS
@@ -59,3 +58,20 @@ def test_empty_documents(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
     assert quality_model.ACCEPT == 0.7
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, group = [], []
+    for g in range(30):
+        base = [word() for _ in range(rng.choice([60, 400]))]
+        for k in range(4):  # itself, an exact copy, and copies with one changed word in sixty
+            copy = list(base)
+            if k >= 2:
+                for at in range(k, len(base), 60 * 4):
+                    copy[at] = word()
+            texts.append(" ".join(copy))
+            group.append(g)
+    found = simhash.wide_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 4 * g for i, g in enumerate(group)}

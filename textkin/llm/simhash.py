@@ -221,13 +221,120 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), "text_hash", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
+#: Wide fingerprints: LANES 64-bit lanes, each from the shingles' hashes mixed anew.
+LANES = 16
+WIDE_BITS = 64 * LANES
+#: Of a wide fingerprint's parts, the share that a query probes: those of least estimated candidate counts.
+PROBED = 0.9
+
+
+def wide_fingerprint(data: bytes | None, words_per_shingle: int) -> np.ndarray:
+    """LANES unsigned 64-bit lanes; a bit is set if it is set in over half the shingles' mixed hashes."""
+    from xxhash import xxh64_intdigest
+
+    joined = b" ".join((data or b"").translate(ASCII_LOWER).split())
+    if not joined:
+        return np.zeros(LANES, np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
+    k = min(words_per_shingle, len(starts))
+    n, ones = len(starts) - k + 1, np.zeros(WIDE_BITS, np.int64)
+    odd = np.arange(1, 2 * LANES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for at in range(0, n, 255):  # a column of 255 bits adds up in one byte
+        stop = min(n, at + 255)
+        h = np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:stop], ends[at + k - 1 : stop + k - 1], strict=True)], "<u8")
+        x = h[:, None] * odd
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def bits_at(similarity: float) -> int:
+    """Differing bits expected of a wide fingerprint for two equally large shingle sets of that Jaccard similarity."""
+    return int(np.ceil(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def wide_links(unique: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes of unique(node, lanes) whose wide fingerprints differ in at most bits_at(similarity) bits.
+
+    The general pigeonhole principle with thresholds of 0 and -1: parts of about log2(rows) + 2 bits, of which each query
+    probes the PROBED share that the histograms say are cheapest (for two thresholds the dynamic program's optimum is
+    that choice). Links of fewer bits than parts probed are found for certain, others with the chance that some probed part agrees:
+    at a similarity of 0.8 that is about 0.8, at 0.9 over 0.99 for a few hundred thousand rows."""
+    spark = unique.sparkSession
+    width = int(min(30, max(12, np.ceil(np.log2(max(2, unique.count()))) + 2)))
+    parts = WIDE_BITS // width
+
+    def values(lanes: np.ndarray) -> np.ndarray:
+        """values[row, part]"""
+        bits = np.unpackbits(np.ascontiguousarray(lanes, "<i8").view(np.uint8), axis=1, bitorder="little")[:, : parts * width].reshape(len(lanes), parts, width)
+        return bits.astype(np.float64) @ (2.0 ** np.arange(width))
+
+    def lanes_of(b: pd.DataFrame) -> np.ndarray:
+        return np.array(b["lanes"].tolist(), np.int64).reshape(-1, LANES)
+
+    def cells(batches):
+        hist = np.zeros((parts, 4096), np.int64)
+        for b in batches:
+            v = values(lanes_of(b)).astype(np.int64) & 4095
+            for i in range(parts):
+                hist[i] += np.bincount(v[:, i], minlength=4096)
+        part, cell = np.nonzero(hist)
+        yield pd.DataFrame({"part": part, "cell": cell, "n": hist[part, cell]})
+
+    got = unique.select("lanes").mapInPandas(cells, "part int, cell int, n long").groupBy("part", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most parts * 4096 rows
+    hist = np.zeros((parts, 4096), np.float32)
+    hist[got["part"].to_numpy(int), got["cell"].to_numpy(int)] = got["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(hist)
+    probed = max(1, int(np.ceil(PROBED * parts)))
+
+    def rows(batches):
+        for whole in batches:
+            for b in (whole.iloc[at : at + 2048] for at in range(0, len(whole), 2048)):
+                v = values(lanes_of(b)).astype(np.int64)
+                costs = shared.value[np.arange(parts)[None, :], v & 4095]
+                asks = np.zeros(v.shape, bool)
+                np.put_along_axis(asks, np.argpartition(costs, probed - 1, axis=1)[:, :probed], True, axis=1)
+                yield pd.DataFrame({"part": np.tile(np.arange(parts, dtype=np.int32), len(v)), "value": v.ravel(), "node": np.repeat(b["node"].to_numpy(np.int64), parts), "asks": asks.ravel()})
+
+    index = unique.mapInPandas(rows, "part int, value long, node long, asks boolean")
+    x, q = index.drop("asks").alias("x"), index.where("asks").alias("q")
+    met = x.join(q, (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value")) & (F.col("x.node") < F.col("q.node"))).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    left, right = (unique.select(F.col("node").alias(k), F.col("lanes").alias(f"_{k}")) for k in "ab")
+    apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(LANES)), F.lit(0))
+    return met.join(left, "a").join(right, (right["b"] == met["b"]) & (apart <= bits_at(similarity))).select("a", met["b"])
+
+
+def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, text_hash, component_id): as near_duplicates, but linked at a similarity of shingle sets, by wide fingerprints."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "lanes": [wide_fingerprint(x, words_per_shingle).view(np.int64) for x in b["data"]]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).cast("binary").alias("data"))
+    found = rows.mapInPandas(run, "id string, text_hash long, lanes array<long>").withColumn("id", F.col("id").cast(kind)).withColumn("node", F.xxhash64("lanes"))
+    fps = written(found)
+    unique = written(fps.groupBy("node").agg(F.min("id").alias("least"), F.first("lanes").alias("lanes")))
+    roots = connected_components(wide_links(unique.select("node", "lanes"), similarity)).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
+    grouped = unique.select("node", "least").join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("r", "node").alias("root"))
+    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(grouped.join(names, "root").select("node", "component_id"))
+    return fps.select("id", "text_hash", "node").join(named, "node").select(F.col("id").alias(id_col), "text_hash", "component_id")
+
+
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs less all but the row of the least id of each component; of rows equal in id and text one stays."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words_per_shingle, radius)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays"), F.col("text_hash").alias("_stays_hash"))
     marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_hash") == F.col("_stays_hash")), "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    return kept_of(docs, wide_near_duplicates(docs.select(id_col, text_col), id_col, text_col, words_per_shingle, similarity), id_col, text_col)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
