@@ -255,13 +255,17 @@ def bits_at(similarity: float) -> int:
     return int(np.ceil(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
 
 
-def wide_links(unique: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): nodes of unique(node, lanes) whose wide fingerprints differ in at most bits_at(similarity) bits.
+def wide_components(unique: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) by links between nodes of unique(node, lanes) whose wide fingerprints differ in at most bits_at(similarity) bits.
 
     The general pigeonhole principle with thresholds of 0 and -1: parts of about log2(rows) + 2 bits, of which each query
     probes the PROBED share that the histograms say are cheapest (for two thresholds the dynamic program's optimum is
     that choice). Links of fewer bits than parts probed are found for certain, others with the chance that some probed part agrees:
-    at a similarity of 0.8 that is about 0.8, at 0.9 over 0.99 for a few hundred thousand rows."""
+    at a similarity of 0.8 that is about 0.8, at 0.9 over 0.99 for a few hundred thousand rows.
+
+    Links are found in two passes, so a large group of near copies doesn't put out its pairs: first the members of a cell are
+    verified against the cell's least node alone; then only candidates that aren't in one component by then. A pair left
+    out of the second pass is connected already, so components are those of all links."""
     spark = unique.sparkSession
     width = int(min(30, max(12, np.ceil(np.log2(max(2, unique.count()))) + 2)))
     parts = WIDE_BITS // width
@@ -296,14 +300,25 @@ def wide_links(unique: DataFrame, similarity: float) -> DataFrame:
                 costs = shared.value[np.arange(parts)[None, :], v & 4095]
                 asks = np.zeros(v.shape, bool)
                 np.put_along_axis(asks, np.argpartition(costs, probed - 1, axis=1)[:, :probed], True, axis=1)
-                yield pd.DataFrame({"part": np.tile(np.arange(parts, dtype=np.int32), len(v)), "value": v.ravel(), "node": np.repeat(b["node"].to_numpy(np.int64), parts), "asks": asks.ravel()})
+                node, group = (np.repeat(b[c].to_numpy(np.int64), parts) for c in ("node", "component"))
+                yield pd.DataFrame({"part": np.tile(np.arange(parts, dtype=np.int32), len(v)), "value": v.ravel(), "node": node, "component": group, "asks": asks.ravel()})
+
+    shape, cell = "part int, value long, node long, component long, asks boolean", ["part", "value"]
+
+    def verified(met: DataFrame) -> DataFrame:
+        left, right = (unique.select(F.col("node").alias(k), F.col("lanes").alias(f"_{k}")) for k in "ab")
+        apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(LANES)), F.lit(0))
+        return met.join(left, "a").join(right, (right["b"] == met["b"]) & (apart <= bits_at(similarity))).select("a", met["b"])
 
-    index = unique.mapInPandas(rows, "part int, value long, node long, asks boolean")
+    index = unique.withColumn("component", F.col("node")).mapInPandas(rows, shape)
+    leaders = index.groupBy(*cell).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 2").drop("n")
+    first = written(verified(index.where("asks").join(leaders, cell).where("node > a").select("a", F.col("node").alias("b")).distinct()))
+    known = written(unique.join(connected_components(first), "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("component")))
+    index = known.mapInPandas(rows, shape)
     x, q = index.drop("asks").alias("x"), index.where("asks").alias("q")
-    met = x.join(q, (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value")) & (F.col("x.node") < F.col("q.node"))).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    left, right = (unique.select(F.col("node").alias(k), F.col("lanes").alias(f"_{k}")) for k in "ab")
-    apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(LANES)), F.lit(0))
-    return met.join(left, "a").join(right, (right["b"] == met["b"]) & (apart <= bits_at(similarity))).select("a", met["b"])
+    met = x.join(q, (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value")) & (F.col("x.node") < F.col("q.node")) & (F.col("x.component") != F.col("q.component"))).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    joined = known.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return connected_components(joined.union(verified(met)))
 
 
 def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -318,10 +333,10 @@ def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = rows.mapInPandas(run, "id string, text_hash long, lanes array<long>").withColumn("id", F.col("id").cast(kind)).withColumn("node", F.xxhash64("lanes"))
     fps = written(found)
     unique = written(fps.groupBy("node").agg(F.min("id").alias("least"), F.first("lanes").alias("lanes")))
-    roots = connected_components(wide_links(unique.select("node", "lanes"), similarity)).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
+    roots = wide_components(unique.select("node", "lanes"), similarity).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
     grouped = unique.select("node", "least").join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("r", "node").alias("root"))
-    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(grouped.join(names, "root").select("node", "component_id"))
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(grouped.join(named, "root").select("node", "component_id"))
     return fps.select("id", "text_hash", "node").join(named, "node").select(F.col("id").alias(id_col), "text_hash", "component_id")
 
 
