@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, table
 
-FIT_TEXTS, STEPS, RATE, DECAY, ACCEPT = 3000, 400, 0.03, 1e-4, 0.7
+FIT_TEXTS, STEPS, RATE, DECAY, ACCEPT = 2000, 400, 0.03, 1e-4, 0.7
 SIDE = 48
 
 
@@ -117,14 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"positive": b["positive"], "x": [features(t if isinstance(t, str) else None).tobytes() for t in b["text"]]})
+                yield pd.DataFrame({"positive": b["positive"], "x": [features(t if isinstance(t, str) else None).astype(np.float16).tobytes() for t in b["text"]]})
 
     text = F.col(text_col).alias("text")
     p = docs.join(picked_ids, id_col, "left_semi").select(F.lit(True).alias("positive"), text)
     u = lowest(docs, id_col, fit_texts, docs.count()).select(F.lit(False).alias("positive"), text)
     rows = p.union(u).mapInPandas(run, "positive boolean, x binary").toPandas()
     rows = rows.sort_values(["positive", "x"], key=lambda s: s.map(bytes) if s.name == "x" else s)
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, FEATURES)
+    x = np.frombuffer(b"".join(rows["x"]), np.float16).astype(np.float32).reshape(-1, FEATURES)
     is_p = rows["positive"].to_numpy(bool)
     if not is_p.any() or is_p.all():
         return None
