@@ -4,8 +4,6 @@ import itertools
 import random
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline as P
 from textkin.llm import line_rules, quality_model, simhash
 from textkin.llm.common import bucket_of, connected_components, written
@@ -25,7 +23,7 @@ def test_stages(spark):
     kept = {r.doc_id for r in second.collect()}
     assert second.columns == columns and sum(labels.get(i) == 1 and i not in kept for i in held) <= 1
     third = written(P.near_dedup(spark, second, SF))
-    rows = {r.doc_id: simhash.wide_fingerprint(r.text.encode(), P.SHINGLE) for r in second.collect()}
+    rows = {r.doc_id: set(simhash.shingle_hashes(r.text.encode(), P.SHINGLE).tolist()) for r in second.collect()}
     root = {i: i for i in rows}
 
     def find(x):
@@ -34,7 +32,7 @@ def test_stages(spark):
         return x
 
     for a, b in itertools.combinations(sorted(rows), 2):
-        if np.bitwise_count(rows[a] ^ rows[b]).sum() <= simhash.bits_at(P.SIMILARITY):
+        if len(rows[a] & rows[b]) >= P.SIMILARITY * len(rows[a] | rows[b]):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert third.columns == columns and sorted(r.doc_id for r in third.collect()) == sorted({find(i) for i in rows})

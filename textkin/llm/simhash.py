@@ -224,101 +224,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Wide fingerprints: LANES 64-bit lanes, each from the shingles' hashes mixed anew.
 LANES = 16
 WIDE_BITS = 64 * LANES
+#: The chance with which a pair at the very similarity asked for shares a probed part, whatever the number of rows.
+RECALL = 0.98
 #: Of a wide fingerprint's parts, the share that a query probes: those of least estimated candidate counts.
 PROBED = 0.9
+#: Cells of a part's histogram.
+WIDE_CELLS = 1024
+#: Distances so many standard deviations off a similarity's expected one are taken as they are; nearer ones are checked on the shingles.
+SURE = 3.0
+#: Sets of fewer shingles than this are always checked on the shingles.
+FEW_SHINGLES = 64
 
 
-def wide_fingerprint(data: bytes | None, words_per_shingle: int) -> np.ndarray:
-    """LANES unsigned 64-bit lanes; a bit is set if it is set in over half the shingles' mixed hashes."""
+def shingle_hashes(data: bytes | None, words_per_shingle: int) -> np.ndarray:
+    """The set of a text's shingles as ascending XXH64 (seed 42), of the whole text."""
     from xxhash import xxh64_intdigest
 
     joined = b" ".join((data or b"").translate(ASCII_LOWER).split())
     if not joined:
-        return np.zeros(LANES, np.uint64)
+        return np.zeros(0, "<u8")
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
     k = min(words_per_shingle, len(starts))
-    n, ones = len(starts) - k + 1, np.zeros(WIDE_BITS, np.int64)
+    return np.unique(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=False)], "<u8"))
+
+
+def wide_fingerprint(data: bytes | None, words_per_shingle: int) -> tuple[np.ndarray, int]:
+    """LANES unsigned 64-bit lanes, a bit set if it is set in over half the shingle set's mixed hashes, and the set's size."""
+    hashes = shingle_hashes(data, words_per_shingle)
+    n, ones = len(hashes), np.zeros(WIDE_BITS, np.int64)
+    if not n:
+        return np.zeros(LANES, np.uint64), 0
     odd = np.arange(1, 2 * LANES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
     for at in range(0, n, 255):  # a column of 255 bits adds up in one byte
-        stop = min(n, at + 255)
-        h = np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:stop], ends[at + k - 1 : stop + k - 1], strict=True)], "<u8")
-        x = h[:, None] * odd
+        x = hashes[at : at + 255, None] * odd
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
         ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8"), n
+
 
+def angle_share(similarity: float) -> float:
+    """The share of differing bits expected of two equally large shingle sets of that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-def bits_at(similarity: float) -> int:
-    """Differing bits expected of a wide fingerprint for two equally large shingle sets of that Jaccard similarity."""
-    return int(np.ceil(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
 
+def wide_parts(rows: int, similarity: float) -> tuple[int, int, int]:
+    """(width, parts, probed): bits a part, parts, and how many of them a query probes, for RECALL at the similarity."""
+    width = int(min(30, max(12, np.ceil(np.log2(max(2, rows))) + 2)))
+    probed = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - angle_share(similarity)) ** width))))
+    probed = max(probed, int(PROBED * (WIDE_BITS // width)))
+    return width, int(np.ceil(probed / PROBED)), probed
 
-def wide_components(unique: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) by links between nodes of unique(node, lanes) whose wide fingerprints differ in at most bits_at(similarity) bits.
 
-    The general pigeonhole principle with thresholds of 0 and -1: parts of about log2(rows) + 2 bits, of which each query
-    probes the PROBED share that the histograms say are cheapest (for two thresholds the dynamic program's optimum is
-    that choice). Links of fewer bits than parts probed are found for certain, others with the chance that some probed part agrees:
-    at a similarity of 0.8 that is about 0.8, at 0.9 over 0.99 for a few hundred thousand rows.
+def wide_components(unique: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """(node, root) by links between nodes of unique(node, text_hash, lanes, shingles) whose shingle sets are of that similarity or more.
+
+    texts: (text_hash, data). The general pigeonhole principle with thresholds of 0 and -1: parts of about log2(rows) + 2 bits,
+    of which each query probes the PROBED share that the histograms say are cheapest (for two thresholds the dynamic
+    program's optimum is that choice). Where one grouping of the bits gives too few parts for RECALL, seeded others follow.
+
+    Candidates whose distance settles the matter, given both sets' sizes, are taken or left by it; the others are compared
+    on their whole shingle sets, unless their nodes are connected without them.
 
     Links are found in two passes, so a large group of near copies doesn't put out its pairs: first the members of a cell are
     verified against the cell's least node alone; then only candidates that aren't in one component by then. A pair left
     out of the second pass is connected already, so components are those of all links."""
     spark = unique.sparkSession
-    width = int(min(30, max(12, np.ceil(np.log2(max(2, unique.count()))) + 2)))
-    parts = WIDE_BITS // width
+    width, parts, probed = wide_parts(unique.count(), similarity)
+    fit, rng = WIDE_BITS // width, np.random.default_rng(42)
+    orders = [np.arange(WIDE_BITS)] + [rng.permutation(WIDE_BITS) for _ in range(-(-parts // fit) - 1)]
+    bits_of = np.concatenate([o[: fit * width].reshape(fit, width) for o in orders])[:parts]
 
-    def values(lanes: np.ndarray) -> np.ndarray:
+    def values(b: pd.DataFrame) -> np.ndarray:
         """values[row, part]"""
-        bits = np.unpackbits(np.ascontiguousarray(lanes, "<i8").view(np.uint8), axis=1, bitorder="little")[:, : parts * width].reshape(len(lanes), parts, width)
-        return bits.astype(np.float64) @ (2.0 ** np.arange(width))
+        lanes = np.array(b["lanes"].tolist(), "<i8").reshape(-1, LANES)
+        bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
+        return (bits[:, bits_of.ravel()].reshape(len(lanes), parts, width).astype(np.float32) @ (2.0 ** np.arange(width, dtype=np.float64))).astype(np.int64)
 
-    def lanes_of(b: pd.DataFrame) -> np.ndarray:
-        return np.array(b["lanes"].tolist(), np.int64).reshape(-1, LANES)
+    def cut(batches):
+        for whole in batches:
+            yield from (whole.iloc[at : at + 1024] for at in range(0, len(whole), 1024))
 
     def cells(batches):
-        hist = np.zeros((parts, 4096), np.int64)
-        for b in batches:
-            v = values(lanes_of(b)).astype(np.int64) & 4095
-            for i in range(parts):
-                hist[i] += np.bincount(v[:, i], minlength=4096)
-        part, cell = np.nonzero(hist)
-        yield pd.DataFrame({"part": part, "cell": cell, "n": hist[part, cell]})
-
-    got = unique.select("lanes").mapInPandas(cells, "part int, cell int, n long").groupBy("part", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most parts * 4096 rows
-    hist = np.zeros((parts, 4096), np.float32)
-    hist[got["part"].to_numpy(int), got["cell"].to_numpy(int)] = got["n"].to_numpy()
+        hist = np.zeros(parts * WIDE_CELLS, np.int64)
+        for b in cut(batches):
+            at = (values(b) & (WIDE_CELLS - 1)) + np.arange(parts) * WIDE_CELLS
+            hist += np.bincount(at.ravel(), minlength=len(hist))
+        cell = np.flatnonzero(hist)
+        yield pd.DataFrame({"cell": cell, "n": hist[cell]})
+
+    got = unique.select("lanes").mapInPandas(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most parts * WIDE_CELLS rows
+    hist = np.zeros(parts * WIDE_CELLS, np.float32)
+    hist[got["cell"].to_numpy(int)] = got["n"].to_numpy()
     shared = spark.sparkContext.broadcast(hist)
-    probed = max(1, int(np.ceil(PROBED * parts)))
 
     def rows(batches):
-        for whole in batches:
-            for b in (whole.iloc[at : at + 2048] for at in range(0, len(whole), 2048)):
-                v = values(lanes_of(b)).astype(np.int64)
-                costs = shared.value[np.arange(parts)[None, :], v & 4095]
-                asks = np.zeros(v.shape, bool)
-                np.put_along_axis(asks, np.argpartition(costs, probed - 1, axis=1)[:, :probed], True, axis=1)
-                node, group = (np.repeat(b[c].to_numpy(np.int64), parts) for c in ("node", "component"))
-                yield pd.DataFrame({"part": np.tile(np.arange(parts, dtype=np.int32), len(v)), "value": v.ravel(), "node": node, "component": group, "asks": asks.ravel()})
-
-    shape, cell = "part int, value long, node long, component long, asks boolean", ["part", "value"]
-
-    def verified(met: DataFrame) -> DataFrame:
-        left, right = (unique.select(F.col("node").alias(k), F.col("lanes").alias(f"_{k}")) for k in "ab")
-        apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(LANES)), F.lit(0))
-        return met.join(left, "a").join(right, (right["b"] == met["b"]) & (apart <= bits_at(similarity))).select("a", met["b"])
+        for b in cut(batches):
+            v = values(b)
+            costs = shared.value[(v & (WIDE_CELLS - 1)) + np.arange(parts) * WIDE_CELLS]
+            asks = np.zeros(v.shape, bool)
+            np.put_along_axis(asks, np.argpartition(costs, probed - 1, axis=1)[:, :probed], True, axis=1)
+            node, group = (np.repeat(b[c].to_numpy(np.int64), parts) for c in ("node", "component"))
+            yield pd.DataFrame({"cell": ((np.arange(parts) << 32) | v).ravel(), "node": node, "component": group, "asks": asks.ravel()})
+
+    shape = "cell long, node long, component long, asks boolean"
 
-    index = unique.withColumn("component", F.col("node")).mapInPandas(rows, shape)
-    leaders = index.groupBy(*cell).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 2").drop("n")
-    first = written(verified(index.where("asks").join(leaders, cell).where("node > a").select("a", F.col("node").alias("b")).distinct()))
+    def alike(batches):
+        for b in batches:
+            known: dict[int, np.ndarray] = {}
+            keep = []
+            for a, data_a, data_b in zip(b["a"], b["data_a"], b["data_b"], strict=True):
+                if a not in known:
+                    known = {a: shingle_hashes(data_a, words_per_shingle)}
+                x, y = known[a], shingle_hashes(data_b, words_per_shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.loc[keep, ["a", "b"]]
+
+    def confirmed(met: DataFrame) -> DataFrame:
+        """The links among met(a, b)."""
+        left, right = (unique.select(F.col("node").alias(k), F.col("lanes").alias(f"_{k}"), F.col("shingles").alias(f"_n{k}"), F.col("text_hash").alias(f"text_{k}")) for k in "ab")
+        apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(LANES)), F.lit(0))
+        cosine = similarity / (1 + similarity) * (F.col("_na") + F.col("_nb")) / F.sqrt(F.greatest(F.col("_na").cast("double") * F.col("_nb"), F.lit(1.0)))
+        due = F.when(cosine <= 1 + 1e-9, WIDE_BITS / np.pi * F.acos(F.least(cosine, F.lit(1.0))))  # null: sizes too far apart for any link
+        spread = SURE * F.sqrt(F.greatest(due, F.lit(1.0)) * (1 - due / WIDE_BITS))
+        sure = (apart <= due - spread) & (F.least("_na", "_nb") >= FEW_SHINGLES)
+        near = met.join(left, "a").join(right, (right["b"] == met["b"]) & (apart <= due + spread)).select("a", met["b"], "text_a", "text_b", sure.alias("sure"))
+        near = written(near)
+        certain = near.where("sure").select("a", "b")
+        roots = written(connected_components(certain))
+        ra, rb = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        open_pairs = written(near.where("not sure").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "text_a", "text_b"))
+        wanted = written(open_pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_hash")).distinct())
+        held = written(texts.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("data").alias("data")))
+        a, b = (held.select(F.col("text_hash").alias(f"text_{k}"), F.col("data").alias(f"data_{k}")) for k in "ab")
+        return certain.union(open_pairs.join(a, "text_a").join(b, "text_b").select("a", "b", "data_a", "data_b").mapInPandas(alike, "a long, b long"))
+
+    index = unique.select("node", "lanes", F.col("node").alias("component")).mapInPandas(rows, shape)
+    leaders = index.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 2").drop("n")
+    first = confirmed(index.where("asks").join(leaders, "cell").where("node > a").select("a", F.col("node").alias("b")).distinct())
     known = written(unique.join(connected_components(first), "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("component")))
     index = known.mapInPandas(rows, shape)
-    x, q = index.drop("asks").alias("x"), index.where("asks").alias("q")
-    met = x.join(q, (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value")) & (F.col("x.node") < F.col("q.node")) & (F.col("x.component") != F.col("q.component"))).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    x, q = index.alias("x"), index.alias("q")
+    # the condition on q.asks names both sides, so it isn't pushed below the exchange, which then serves both
+    asked = F.when(F.col("x.node") < F.col("q.node"), F.col("q.asks"))
+    met = x.join(q, (F.col("x.cell") == F.col("q.cell")) & (F.col("x.component") != F.col("q.component")) & asked).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
     joined = known.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return connected_components(joined.union(verified(met)))
+    return connected_components(joined.union(confirmed(met)))
 
 
 def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -326,14 +379,16 @@ def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "lanes": [wide_fingerprint(x, words_per_shingle).view(np.int64) for x in b["data"]]})
+            got = [wide_fingerprint(x, words_per_shingle) for x in b["data"]]
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "lanes": [lanes.view(np.int64) for lanes, _ in got], "shingles": np.array([n for _, n in got], np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).cast("binary").alias("data"))
-    found = rows.mapInPandas(run, "id string, text_hash long, lanes array<long>").withColumn("id", F.col("id").cast(kind)).withColumn("node", F.xxhash64("lanes"))
+    text_hash, data = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).cast("binary").alias("data")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_hash, data)
+    found = rows.mapInPandas(run, "id string, text_hash long, lanes array<long>, shingles long").withColumn("id", F.col("id").cast(kind)).withColumn("node", F.xxhash64("lanes", "shingles"))
     fps = written(found)
-    unique = written(fps.groupBy("node").agg(F.min("id").alias("least"), F.first("lanes").alias("lanes")))
-    roots = wide_components(unique.select("node", "lanes"), similarity).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
+    unique = written(fps.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("lanes").alias("lanes"), F.first("shingles").alias("shingles")))
+    roots = wide_components(unique.drop("least"), docs.select(text_hash, data), similarity, words_per_shingle).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
     grouped = unique.select("node", "least").join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("r", "node").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(grouped.join(named, "root").select("node", "component_id"))
