@@ -367,8 +367,8 @@ def wide_components(unique: DataFrame, texts: DataFrame, similarity: float, word
     known = written(unique.join(connected_components(first), "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("component")))
     index = known.mapInPandas(rows, shape)
     x, q = index.alias("x"), index.alias("q")
-    # the condition on q.asks names both sides, so it isn't pushed below the exchange, which then serves both
-    asked = F.when(F.col("x.node") < F.col("q.node"), F.col("q.asks"))
+    # either may ask; both sides need the same columns and the condition names both, so one exchange serves them
+    asked = F.when(F.col("x.node") < F.col("q.node"), F.col("x.asks") | F.col("q.asks"))
     met = x.join(q, (F.col("x.cell") == F.col("q.cell")) & (F.col("x.component") != F.col("q.component")) & asked).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
     joined = known.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
     return connected_components(joined.union(confirmed(met)))
@@ -399,7 +399,10 @@ def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Da
     """docs less all but the row of the least id of each component; of rows equal in id and text one stays."""
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays"), F.col("text_hash").alias("_stays_hash"))
     marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_hash") == F.col("_stays_hash")), "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_hash") == F.col("_stays_hash")), "left_semi")
+    # texts are exchanged once more only if some row stands several times
+    repeated = stay.groupBy("_stays", "_stays_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, "_hash"])).drop("_hash")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
