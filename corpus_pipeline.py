@@ -17,8 +17,9 @@ MIX_SHARE, MAX_EPOCHS = 0.8, 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of their words by removing boilerplate lines."""
-    return line_rules.filtered(docs)
+    """Documents that pass the base rules and aren't depleted of their words by removing boilerplate lines, without those lines."""
+    kept = line_rules.filtered(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -355,6 +355,16 @@ def test_line_rules_remove_boilerplate(spark):
     assert all(got[200 + i].n_removed_words == 0 for i in range(3)) and all(got[300 + i].kept and not got[300 + i].n_removed_words for i in range(40))
 
 
+def test_line_rules_return_texts_without_boilerplate(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"Intro {own(i)}\n\n Shared  FOOTER line\tnumber one\r\nlast  line of {i}\n", "h") for i in range(20)]
+    rows += [(100 + i, f"Shared footer line number one\n{own(i)}", f"h{i}") for i in range(3)]  # not boilerplate there
+    rows += [rows[0], (None, rows[1][1], "h"), (None, rows[1][1], "h")]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in line_rules.filtered(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    left = lambda i: f"Intro {own(i)}\n\nlast  line of {i}\n"
+    assert got == sorted([(i, left(i)) for i in range(20)] + [(100 + i, f"Shared footer line number one\n{own(i)}") for i in range(3)] + [(0, left(0)), (-1, left(1)), (-1, left(1))])
+
+
 def test_line_rules_edges(spark, odd, empty):
     rows = line_rules.verdicts(odd).collect()
     assert len(rows) == odd.count() and line_rules.verdicts(empty).count() == 0

@@ -7,7 +7,8 @@ more than MAX_SHARE of the host's texts is boilerplate and removed; a text with
 than MIN_LEFT of its words left is depleted and rejected.
 
 Null and empty texts have no words and fail; a null host is a host of its own; repeated rows get the same verdict and
-count once; an empty table gives an empty table. Other columns of the input pass through `filtered` untouched.
+count once; an empty table gives an empty table. `filtered` returns kept texts without their boilerplate lines; their
+other lines, blank ones too, and the other columns of the input pass through untouched.
 """
 
 from __future__ import annotations
@@ -63,9 +64,14 @@ def _keys(id_col: str, text_col: str, host_col: str) -> list[F.Column]:
     return [F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x01")).alias("host")]
 
 
+def normal(line) -> F.Column:
+    """A line lower-cased, its words joined by one space."""
+    return F.trim(F.regexp_replace(F.lower(line), WORD_GAP, " "))
+
+
 def line_hashes(text) -> F.Column:
     """(line, words) of each line with a word: the normalised line's hash and its number of words."""
-    clean = F.transform(line_texts(text), lambda x: F.trim(F.regexp_replace(F.lower(x), WORD_GAP, " ")))
+    clean = F.transform(line_texts(text), normal)
     return F.transform(clean, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words")))
 
 
@@ -84,30 +90,43 @@ def frequent_lines(known: DataFrame) -> DataFrame:
     return counted.join(hosts, "host").where(F.col("n") > MAX_SHARE * F.col("texts")).select("host", "line")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, text_hash, host, the base columns, n_removed_words, kept), a row for each row of docs.
+def without_lines(text, lines) -> F.Column:
+    """The text less its lines whose normalised hash is in lines; the others stay as they are. With null lines, the text."""
+    return F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(lines, F.xxhash64(normal(x)))), "\n"))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(id, text_hash, host, the base columns, n_removed_words, removed_lines, kept), a row for each row of docs.
 
-    Texts aren't shuffled: what is joined back by (id, text, host) are removed-word sums. The table of boilerplate lines is
+    removed_lines holds the hashes of the text's boilerplate lines, null if it has none.
+
+    Texts aren't shuffled: what is joined back by (id, text, host) are removed-word sums and line hashes. The table of boilerplate lines is
     broadcast by Spark only while its written size is under spark.sql.autoBroadcastJoinThreshold."""
     known = facts(docs, id_col, text_col, host_col)
     base, common = known.drop("lines"), written(frequent_lines(known))
     lines = known.select(*KEYS, F.explode("lines").alias("e")).select(*KEYS, "e.line", "e.words")
-    hit = lines.join(common, ["host", "line"]).groupBy(*KEYS).agg(F.sum("words").alias("w"))
+    hit = lines.join(common, ["host", "line"]).groupBy(*KEYS).agg(F.sum("words").alias("w"), F.collect_set("line").alias("removed_lines"))
     # a row that stands n times has n times the words
     repeated = base.groupBy(*KEYS).agg(F.count("*").alias("times")).where("times > 1")
-    removed = hit.join(repeated, KEYS, "left").select(F.col("id").alias("_i"), F.col("text_hash").alias("_t"), F.col("host").alias("_h"), (F.col("w") / F.coalesce("times", F.lit(1))).cast("long").alias("w"))
+    removed = hit.join(repeated, KEYS, "left").select(F.col("id").alias("_i"), F.col("text_hash").alias("_t"), F.col("host").alias("_h"), (F.col("w") / F.coalesce("times", F.lit(1))).cast("long").alias("w"), "removed_lines")
     out = base.join(removed, F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_t")) & (F.col("host") == F.col("_h")), "left").drop("_i", "_t", "_h")
     out = out.withColumn("n_removed_words", F.coalesce("w", F.lit(0).cast("long"))).drop("w")
     left = F.col("n_words") - F.col("n_removed_words")
     return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= MIN_LEFT * F.col("n_words")))
 
 
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(id, text_hash, host, the base columns, n_removed_words, kept), a row for each row of docs."""
+    return judged(docs, id_col, text_col, host_col).drop("removed_lines")
+
+
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    stay = verdicts(docs, id_col, text_col, host_col).where("kept").select(*[F.col(k).alias(f"_{k}") for k in KEYS])
+    """The rows of docs that are kept, with their columns, the text without its boilerplate lines."""
+    stay = judged(docs, id_col, text_col, host_col).where("kept").select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("removed_lines").alias("_removed_lines")).dropDuplicates([f"_{k}" for k in KEYS])
     own = dict(zip(KEYS, _keys(id_col, text_col, host_col), strict=True))
     marked = docs.withColumns({f"_own_{k}": c for k, c in own.items()})
-    return marked.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_text_hash") == F.col("_text_hash")) & (F.col("_own_host") == F.col("_host")), "left_semi").select(docs.columns)
+    kept = marked.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_text_hash") == F.col("_text_hash")) & (F.col("_own_host") == F.col("_host")))
+    return kept.withColumn(text_col, without_lines(F.col(text_col), F.col("_removed_lines"))).select(docs.columns)
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
