@@ -172,6 +172,28 @@ def test_revisits(spark):
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_resolved_revisits_have_the_payload(spark):
+    shape = "record_id long, url string, ts long, record_type string, etag string, last_modified long, headers map<string,string>, payload string"
+    rows = [(1, "http://a.com/x", 10, "response", "e1", None, {}, "first"), (2, "http://a.com/x", 50, "response", "e2", None, {}, "second"), (3, "http://a.com/y", 5, "response", "e3", None, {}, None)]
+    rows += [(10 + i, "http://a.com/x", 20 + i, "revisit", "e1", None, {}, "not this") for i in range(20)]
+    rows += [(40, "http://a.com/x", 60, "revisit", "e2", None, {}, None), (41, "http://a.com/x", 60, "revisit", "e1", None, {}, "nor this"), (42, "http://a.com/y", 60, "revisit", "e3", None, {}, "nor this")]
+    got = revisits.resolve(spark.createDataFrame(rows + [rows[0], rows[3]], shape)).collect()
+    want = {**{10 + i: "first" for i in range(20)}, 40: "second", 41: None, 42: None}
+    assert len(got) == 24 and all(r.payload == want[r.record_id] for r in got) and {r.record_id for r in got} == set(want)
+    # the query's lengths are those of payloads, whatever the headers say
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r.page_id: r.html or "" for r in pages.collect()}
+    captures = revisits.captures_of(pages).withColumn("headers", F.create_map(F.lit("content-length"), F.lit("-1")))
+    found = [r for r in revisits.resolve(captures).collect() if r.outcome == "resolved"]
+    assert found and all(r.payload == html[r.refers_to // 2] for r in found)
+
+
+def test_revisits_equal_sql(spark):
+    import harness
+
+    harness.compare(spark, revisits.op3_revisits, revisits.OP3_SQL, SF)
+
+
 # 4
 
 

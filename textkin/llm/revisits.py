@@ -39,7 +39,8 @@ def resolve(captures: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFram
     """The revisits of captures (record_id, url, ts long, record_type, etag, last_modified, headers map, payload) with
     canonical_url, refers_to, outcome ('resolved', 'changed', 'no validator', 'no response'), merged_headers, and payload of the response.
 
-    Payloads don't travel through the scan: only record ids do, and resolved ones fetch theirs by a join."""
+    Payloads don't travel through the scan: only record ids do, and resolved ones fetch theirs by a join. A response that several
+    revisits refer to is fetched once, then joined; adaptive execution can split it, as that join reads written payloads."""
     slim = written(captures.withColumn("canonical_url", canonical(F.col("url"))).select("canonical_url", "record_id", "ts", "record_type", "etag", "last_modified", "headers").withColumn("block", F.floor(F.col("ts") / block_seconds)))
     full = F.when(F.col("record_type") == "response", F.struct("ts", "record_id", "etag", "last_modified", "headers"))
     # the latest response of each (URL, block), carried to later blocks
@@ -63,7 +64,11 @@ def resolve(captures: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFram
     own = F.map_filter(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: F.lower(k).isin(*PERMITTED))
     kept = F.map_filter(F.coalesce("f.headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.array_contains(F.map_keys(own), k))
     out = found.withColumn("outcome", outcome).withColumn("refers_to", F.when(F.col("outcome") == "resolved", F.col("f.record_id")))
-    return out.withColumn("merged_headers", F.when(F.col("outcome") == "resolved", F.map_concat(kept, own))).drop("f", "block")
+    out = written(out.withColumn("merged_headers", F.when(F.col("outcome") == "resolved", F.map_concat(kept, own))).drop("f", "block"))
+    wanted = out.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("_record")).distinct()
+    held = captures.where("record_type = 'response'").select(F.col("record_id").alias("_record"), "payload")
+    held = written(held.join(wanted, "_record", "left_semi").dropDuplicates(["_record"]))
+    return out.join(held, F.col("refers_to") == F.col("_record"), "left").drop("_record")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
@@ -77,16 +82,16 @@ def captures_of(pages: DataFrame) -> DataFrame:
     text = F.length(F.coalesce("html", F.lit(""))).cast("string")
     heads = lambda date: F.map_from_arrays(F.array(F.lit("content-length"), F.lit("date"), F.lit("server")), F.array(text, date.cast("string"), F.lit("a")))
     asked = p * 10 + F.when(even, F.lit(5)).otherwise(F.lit(50005))
-    full = pages.select((p * 2).alias("record_id"), "url", (p * 10).alias("ts"), F.lit("response").alias("record_type"), tag.alias("etag"), modified.alias("last_modified"), heads(p * 10).alias("headers"))
-    again = pages.select((p * 2 + 1).alias("record_id"), "url", asked.alias("ts"), F.lit("revisit").alias("record_type"), F.when(p % 7 == 0, F.concat(F.lit("W/x"), tag)).otherwise(F.concat(F.lit("W/"), tag)).alias("etag"), modified.alias("last_modified"), heads(asked).alias("headers"))
+    full = pages.select((p * 2).alias("record_id"), "url", (p * 10).alias("ts"), F.lit("response").alias("record_type"), tag.alias("etag"), modified.alias("last_modified"), heads(p * 10).alias("headers"), F.coalesce("html", F.lit("")).alias("payload"))
+    again = pages.select((p * 2 + 1).alias("record_id"), "url", asked.alias("ts"), F.lit("revisit").alias("record_type"), F.when(p % 7 == 0, F.concat(F.lit("W/x"), tag)).otherwise(F.concat(F.lit("W/"), tag)).alias("etag"), modified.alias("last_modified"), heads(asked).alias("headers"), F.lit(None).cast("string").alias("payload"))
     return full.unionByName(again)
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record_id, canonical_url, outcome, refers_to, n_bytes, date, server) of every revisit of the crawl."""
+    """(record_id, canonical_url, outcome, refers_to, n_bytes, date, server) of every revisit of the crawl; n_bytes is its payload's length."""
     out = resolve(captures_of(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     h = F.col("merged_headers")
-    return out.select("record_id", "canonical_url", "outcome", "refers_to", F.element_at(h, F.lit("content-length")).cast("long").alias("n_bytes"), F.element_at(h, F.lit("date")).alias("date"), F.element_at(h, F.lit("server")).alias("server"))
+    return out.select("record_id", "canonical_url", "outcome", "refers_to", F.length("payload").cast("long").alias("n_bytes"), F.element_at(h, F.lit("date")).alias("date"), F.element_at(h, F.lit("server")).alias("server"))
 
 
 OP3_SQL = r"""
