@@ -73,3 +73,31 @@ def test_near_copies_go_and_others_stay(spark):
             group.append(g)
     found = simhash.wide_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: 4 * g for i, g in enumerate(group)}
+
+
+def test_near_dedup_is_exact_in_template_groups_and_short_texts(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for g in range(6):  # templates with own words at the end: similarities around 0.8
+        base = [word() for _ in range(80)]
+        for own in (2, 7, 8, 9, 10, 11, 12):
+            texts += [" ".join(base + [word() for _ in range(own)]) for _ in range(8)]
+    for _ in range(60):  # 4 and 5 shingles, 4 in common: 0.8
+        short = [word() for _ in range(9)]
+        texts += [" ".join(short), " ".join(short[:8])]
+    texts += ["", " ", None, "one", "ONE", "one two"]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = simhash.wide_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in range(len(texts))}

@@ -221,19 +221,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), "text_hash", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: LANES 64-bit lanes, each from the shingles' hashes mixed anew.
-LANES = 16
-WIDE_BITS = 64 * LANES
-#: The chance with which a pair at the very similarity asked for shares a probed part, whatever the number of rows.
-RECALL = 0.98
-#: Of a wide fingerprint's parts, the share that a query probes: those of least estimated candidate counts.
-PROBED = 0.9
-#: Cells of a part's histogram.
-WIDE_CELLS = 1024
-#: Distances so many standard deviations off a similarity's expected one are taken as they are; nearer ones are checked on the shingles.
-SURE = 3.0
-#: Sets of fewer shingles than this are always checked on the shingles.
-FEW_SHINGLES = 64
+#: One text in so many tells which shingles are frequent, and so many of them at most are put in order of frequency.
+SAMPLED, LISTED = 8, 200_000
+#: Rows whose shingle sets a Python worker holds at a time.
+HELD_ROWS = 256
+#: Bits of the table that tells which texts may be wanted, 2**MARK_BITS whatever the number of rows.
+MARK_BITS = 26
+
+
+def sliced(batches):
+    for b in batches:
+        yield from (b.iloc[at : at + HELD_ROWS] for at in range(0, len(b), HELD_ROWS))
 
 
 def shingle_hashes(data: bytes | None, words_per_shingle: int) -> np.ndarray:
@@ -249,86 +247,62 @@ def shingle_hashes(data: bytes | None, words_per_shingle: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=False)], "<u8"))
 
 
-def wide_fingerprint(data: bytes | None, words_per_shingle: int) -> tuple[np.ndarray, int]:
-    """LANES unsigned 64-bit lanes, a bit set if it is set in over half the shingle set's mixed hashes, and the set's size."""
-    hashes = shingle_hashes(data, words_per_shingle)
-    n, ones = len(hashes), np.zeros(WIDE_BITS, np.int64)
-    if not n:
-        return np.zeros(LANES, np.uint64), 0
-    odd = np.arange(1, 2 * LANES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    for at in range(0, n, 255):  # a column of 255 bits adds up in one byte
-        x = hashes[at : at + 255, None] * odd
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
-        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8"), n
+def frequent_shingles(texts: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), hashes ascending: the most frequent shingles of one distinct text in SAMPLED of texts(text_hash, data).
+
+    They only set an order, on which the cost depends, not the links; so a sample and a fixed size do."""
+
+    def run(batches):
+        for b in sliced(batches):
+            yield pd.DataFrame({"shingle": np.concatenate([np.zeros(0, "<u8"), *(shingle_hashes(x, words_per_shingle) for x in b["data"])]).view(np.int64)})
+
+    sample = texts.where(F.pmod("text_hash", F.lit(SAMPLED)) == 0).dropDuplicates(["text_hash"]).select("data")
+    counted = written(sample.mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = sorted(((r.n, r.shingles) for r in counted.groupBy("n").agg(F.count("*").alias("shingles")).collect()), reverse=True)
+    total = np.cumsum([s for _, s in sizes])
+    least = min((n for (n, _), upto in zip(sizes, total, strict=True) if upto <= LISTED), default=None)
+    got = counted.where(F.lit(False) if least is None else F.col("n") >= least).toPandas()
+    hashes, counts = got["shingle"].to_numpy(np.int64).view("<u8"), got["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
 
+def prefix(hashes: np.ndarray, listed: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 shingles of a set of n in the common order: by listed count (0 elsewhere), then by hash."""
+    n = len(hashes)
+    if n and len(listed):
+        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+        rank = np.where(listed[at] == hashes, counts[at], 0)
+        hashes = hashes[np.argsort(rank, kind="stable")]
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
-def angle_share(similarity: float) -> float:
-    """The share of differing bits expected of two equally large shingle sets of that Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
+def maybe_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts with a text_hash of wanted, and few others, without an exchange: by a bit table of fixed size."""
+    at = F.shiftrightunsigned("text_hash", 64 - MARK_BITS)
+    got = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(text_hash, {64 - MARK_BITS}) & 63 AS INT))")).alias("bits")).toPandas()
+    marks = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    marks[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
-def wide_parts(rows: int, similarity: float) -> tuple[int, int, int]:
-    """(width, parts, probed): bits a part, parts, and how many of them a query probes, for RECALL at the similarity."""
-    width = int(min(30, max(12, np.ceil(np.log2(max(2, rows))) + 2)))
-    probed = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - angle_share(similarity)) ** width))))
-    probed = max(probed, int(PROBED * (WIDE_BITS // width)))
-    return width, int(np.ceil(probed / PROBED)), probed
+    @F.pandas_udf("boolean")
+    def marked(place: pd.Series) -> pd.Series:
+        p = place.to_numpy(np.int64)
+        return pd.Series((shared.value[p >> 6] >> (p & 63)) & 1 == 1)
 
+    return texts.where(marked(at))
 
-def wide_components(unique: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """(node, root) by links between nodes of unique(node, text_hash, lanes, shingles) whose shingle sets are of that similarity or more.
 
-    texts: (text_hash, data). The general pigeonhole principle with thresholds of 0 and -1: parts of about log2(rows) + 2 bits,
-    of which each query probes the PROBED share that the histograms say are cheapest (for two thresholds the dynamic
-    program's optimum is that choice). Where one grouping of the bits gives too few parts for RECALL, seeded others follow.
+def alike_components(unique: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """(node, root) by links between nodes of unique(node, text_hash, shingles, cells) whose shingle sets are of that similarity or more.
 
-    Candidates whose distance settles the matter, given both sets' sizes, are taken or left by it; the others are compared
-    on their whole shingle sets, unless their nodes are connected without them.
+    texts: (text_hash, data); cells: the sets' prefixes. An exact prefix-filter join: two such sets share a shingle within both
+    prefixes, and at the first one that they share there is room for the overlap that they need behind it. Candidates are
+    compared on their whole shingle sets.
 
     Links are found in two passes, so a large group of near copies doesn't put out its pairs: first the members of a cell are
     verified against the cell's least node alone; then only candidates that aren't in one component by then. A pair left
     out of the second pass is connected already, so components are those of all links."""
-    spark = unique.sparkSession
-    width, parts, probed = wide_parts(unique.count(), similarity)
-    fit, rng = WIDE_BITS // width, np.random.default_rng(42)
-    orders = [np.arange(WIDE_BITS)] + [rng.permutation(WIDE_BITS) for _ in range(-(-parts // fit) - 1)]
-    bits_of = np.concatenate([o[: fit * width].reshape(fit, width) for o in orders])[:parts]
-
-    def values(b: pd.DataFrame) -> np.ndarray:
-        """values[row, part]"""
-        lanes = np.array(b["lanes"].tolist(), "<i8").reshape(-1, LANES)
-        bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
-        return (bits[:, bits_of.ravel()].reshape(len(lanes), parts, width).astype(np.float32) @ (2.0 ** np.arange(width, dtype=np.float64))).astype(np.int64)
-
-    def cut(batches):
-        for whole in batches:
-            yield from (whole.iloc[at : at + 1024] for at in range(0, len(whole), 1024))
-
-    def cells(batches):
-        hist = np.zeros(parts * WIDE_CELLS, np.int64)
-        for b in cut(batches):
-            at = (values(b) & (WIDE_CELLS - 1)) + np.arange(parts) * WIDE_CELLS
-            hist += np.bincount(at.ravel(), minlength=len(hist))
-        cell = np.flatnonzero(hist)
-        yield pd.DataFrame({"cell": cell, "n": hist[cell]})
-
-    got = unique.select("lanes").mapInPandas(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most parts * WIDE_CELLS rows
-    hist = np.zeros(parts * WIDE_CELLS, np.float32)
-    hist[got["cell"].to_numpy(int)] = got["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(hist)
-
-    def rows(batches):
-        for b in cut(batches):
-            v = values(b)
-            costs = shared.value[(v & (WIDE_CELLS - 1)) + np.arange(parts) * WIDE_CELLS]
-            asks = np.zeros(v.shape, bool)
-            np.put_along_axis(asks, np.argpartition(costs, probed - 1, axis=1)[:, :probed], True, axis=1)
-            node, group = (np.repeat(b[c].to_numpy(np.int64), parts) for c in ("node", "component"))
-            yield pd.DataFrame({"cell": ((np.arange(parts) << 32) | v).ravel(), "node": node, "component": group, "asks": asks.ravel()})
-
-    shape = "cell long, node long, component long, asks boolean"
 
     def alike(batches):
         for b in batches:
@@ -342,53 +316,55 @@ def wide_components(unique: DataFrame, texts: DataFrame, similarity: float, word
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.loc[keep, ["a", "b"]]
 
+    def sized(x: str, y: str) -> F.Column:
+        return (F.col(x) >= similarity * F.col(y) - 1e-9) & (F.col(y) >= similarity * F.col(x) - 1e-9)
+
     def confirmed(met: DataFrame) -> DataFrame:
         """The links among met(a, b)."""
-        left, right = (unique.select(F.col("node").alias(k), F.col("lanes").alias(f"_{k}"), F.col("shingles").alias(f"_n{k}"), F.col("text_hash").alias(f"text_{k}")) for k in "ab")
-        apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(LANES)), F.lit(0))
-        cosine = similarity / (1 + similarity) * (F.col("_na") + F.col("_nb")) / F.sqrt(F.greatest(F.col("_na").cast("double") * F.col("_nb"), F.lit(1.0)))
-        due = F.when(cosine <= 1 + 1e-9, WIDE_BITS / np.pi * F.acos(F.least(cosine, F.lit(1.0))))  # null: sizes too far apart for any link
-        spread = SURE * F.sqrt(F.greatest(due, F.lit(1.0)) * (1 - due / WIDE_BITS))
-        sure = (apart <= due - spread) & (F.least("_na", "_nb") >= FEW_SHINGLES)
-        near = met.join(left, "a").join(right, (right["b"] == met["b"]) & (apart <= due + spread)).select("a", met["b"], "text_a", "text_b", sure.alias("sure"))
-        near = written(near)
-        certain = near.where("sure").select("a", "b")
-        roots = written(connected_components(certain))
-        ra, rb = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-        open_pairs = written(near.where("not sure").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "text_a", "text_b"))
-        wanted = written(open_pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_hash")).distinct())
-        held = written(texts.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("data").alias("data")))
+        left, right = (unique.select(F.col("node").alias(k), F.col("shingles").alias(f"n{k}"), F.col("text_hash").alias(f"text_{k}")) for k in "ab")
+        pairs = written(met.join(left, "a").join(right, "b").where(sized("na", "nb")).select("a", "b", "text_a", "text_b"))
+        wanted = written(pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_hash")).distinct())
+        held = written(maybe_wanted(texts, wanted).join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("data").alias("data")))
         a, b = (held.select(F.col("text_hash").alias(f"text_{k}"), F.col("data").alias(f"data_{k}")) for k in "ab")
-        return certain.union(open_pairs.join(a, "text_a").join(b, "text_b").select("a", "b", "data_a", "data_b").mapInPandas(alike, "a long, b long"))
-
-    index = unique.select("node", "lanes", F.col("node").alias("component")).mapInPandas(rows, shape)
-    leaders = index.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 2").drop("n")
-    first = confirmed(index.where("asks").join(leaders, "cell").where("node > a").select("a", F.col("node").alias("b")).distinct())
-    known = written(unique.join(connected_components(first), "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("component")))
-    index = known.mapInPandas(rows, shape)
-    x, q = index.alias("x"), index.alias("q")
-    # either may ask; both sides need the same columns and the condition names both, so one exchange serves them
-    asked = F.when(F.col("x.node") < F.col("q.node"), F.col("x.asks") | F.col("q.asks"))
-    met = x.join(q, (F.col("x.cell") == F.col("q.cell")) & (F.col("x.component") != F.col("q.component")) & asked).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    joined = known.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return connected_components(joined.union(confirmed(met)))
+        return written(pairs.join(a, "text_a").join(b, "text_b").select("a", "b", "data_a", "data_b").mapInPandas(alike, "a long, b long"))
+
+    index = unique.select("node", F.col("shingles").alias("n"), F.posexplode("cells").alias("at", "cell"))
+    leaders = index.groupBy("cell").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
+    shared = written(index.join(leaders, "cell"))  # without the shingles of one prefix alone, which are most
+    first = confirmed(shared.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    roots = written(connected_components(first))
+    known = written(shared.drop("leader").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root"))
+    mixed = known.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("cell")
+    known = written(known.join(mixed, "cell", "left_semi"))
+    x, q = known.alias("x"), known.alias("q")
+    need = similarity / (1 + similarity) * (F.col("x.n") + F.col("q.n")) - 1e-6
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("q.n") - F.col("q.at"))  # positions count from 0
+    met = x.join(q, (F.col("x.cell") == F.col("q.cell")) & (F.col("x.node") < F.col("q.node")) & (F.col("x.component") != F.col("q.component")) & sized("x.n", "q.n") & (room >= need)).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(confirmed(met)))
 
 
 def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, text_hash, component_id): as near_duplicates, but linked at a similarity of shingle sets, by wide fingerprints."""
-
-    def run(batches):
-        for b in batches:
-            got = [wide_fingerprint(x, words_per_shingle) for x in b["data"]]
-            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "lanes": [lanes.view(np.int64) for lanes, _ in got], "shingles": np.array([n for _, n in got], np.int64)})
+    """(id_col, text_hash, component_id): as near_duplicates, but linked at a similarity of shingle sets; exact.
 
+    Texts of equal shingle sets are one node, named by the 64-bit hash of the set."""
     kind = docs.schema[id_col].dataType.simpleString()
     text_hash, data = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).cast("binary").alias("data")
+    texts = docs.select(text_hash, data)
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words_per_shingle))
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in sliced(batches):
+            sets = [shingle_hashes(x, words_per_shingle) for x in b["data"]]
+            node = np.array([xxh64_intdigest(x.tobytes(), 42) for x in sets], "<u8").view(np.int64)
+            cells = [prefix(x, *order.value, similarity).view(np.int64) for x in sets]
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": node, "shingles": np.array([len(x) for x in sets], np.int32), "cells": cells}, index=b.index)
+
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_hash, data)
-    found = rows.mapInPandas(run, "id string, text_hash long, lanes array<long>, shingles long").withColumn("id", F.col("id").cast(kind)).withColumn("node", F.xxhash64("lanes", "shingles"))
-    fps = written(found)
-    unique = written(fps.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("lanes").alias("lanes"), F.first("shingles").alias("shingles")))
-    roots = wide_components(unique.drop("least"), docs.select(text_hash, data), similarity, words_per_shingle).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
+    fps = written(rows.mapInPandas(run, "id string, text_hash long, node long, shingles int, cells array<long>").withColumn("id", F.col("id").cast(kind)))
+    unique = written(fps.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("shingles").alias("shingles"), F.first("cells").alias("cells")))
+    roots = alike_components(unique.drop("least"), texts, similarity, words_per_shingle).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
     grouped = unique.select("node", "least").join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("r", "node").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(grouped.join(named, "root").select("node", "component_id"))
