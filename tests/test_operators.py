@@ -137,3 +137,26 @@ def test_specific_query_prefers_shared_words(spark):
     rows = catalog.queries()["classify"](spark, "/root/testdata/sf0.001").where("id < 0").collect()
     got = {D.NAMES[-r.id - 1]: r.category for r in rows}
     assert got["Ледоход проф 10"] == "средства_защиты" and got["Болт м10х50 стальной"] == "крепеж" and got[""] == D.DEFAULT_CATEGORY
+
+
+def test_every_noise_point_gets_members_of_near_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    axes = np.eye(8)
+    points = [(10 * c + i, axes[c] + 0.05 * rng.standard_normal(8), c, False) for c in range(5) for i in range(7)]
+    points += [(100 + i, axes[i % 5] + 0.9 * axes[(i + 1) % 5], -1, True) for i in range(10)]
+    points += [(200, axes[7], -1, True)]  # near no cluster
+    vectors = spark.createDataFrame([(i, [float(x) for x in e]) for i, e, _, _ in points], "id long, e array<double>")
+    labels = spark.createDataFrame([(i, c, n) for i, _, c, n in points], "id long, label long, is_noise boolean")
+    got = {(r.id, r.rank): r.other for r in graph.noise_analogs(vectors, labels).collect()}
+    unit = {i: e / np.linalg.norm(e) for i, e, _, _ in points}
+    mean = {c: np.mean([unit[i] for i, _, k, _ in points if k == c], axis=0) for c in range(5)}
+    want = {}
+    for i, _, _, noise in points:
+        if noise:
+            near = sorted(((unit[i] @ m / np.linalg.norm(m), c) for c, m in mean.items()), reverse=True)[:3]
+            near = {c for cosine, c in near if cosine >= 0.4}
+            best = sorted((-(unit[i] @ unit[j]), j) for j, _, c, n in points if not n and c in near)[:5]
+            want |= {(i, r): j for r, (_, j) in enumerate(best, 1)}
+    assert got == want and {i for i, _ in got} == set(range(100, 110))

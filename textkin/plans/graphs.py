@@ -98,6 +98,13 @@ def dbscan(spark, sf_dir):
     return graph.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", vector_edges(spark, sf_dir), SAMPLES)
 
 
+@query("dbscan_noise")
+def dbscan_noise(spark, sf_dir):
+    """Each noise point of dbscan with the best five members of its nearest clusters."""
+    found = graph.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", vector_edges(spark, sf_dir), SAMPLES)
+    return rounded(graph.noise_analogs(table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS e"), found), "score")
+
+
 @query("dbscan_grid")
 def dbscan_grid(spark, sf_dir):
     """Clusters and noise for a grid of thresholds, from one set of edges at the widest."""
