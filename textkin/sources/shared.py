@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session makes a temporary one; a cluster must name it,
+    as executors can't read each other's disks."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="textkin-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
