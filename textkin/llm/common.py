@@ -1,13 +1,13 @@
-"""What the operators of this package share: tables, written intermediate tables, words, components."""
+"""What the operators of this package share: tables, words, free column names, and the library's written tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components  # noqa: F401
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 #: A word is a run of characters other than space and \t \n \v \f \r; in bytes that is what bytes.split() splits.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: A-Z to a-z, byte by byte; other UTF-8 bytes stay.
@@ -18,27 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="textkin-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, so lost executors cost no recomputation of what came before.
-
-    The table is removed when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textkin-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got: name, with as many underscores before it as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def words(text) -> F.Column:
@@ -49,25 +34,3 @@ def words(text) -> F.Column:
 def bucket_of(doc_id) -> F.Column:
     """crc32(doc_id as text) mod 4; 2 is held out. Null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root) for each node of edges (a, b), root the smallest node it reaches; nodes without an edge don't appear.
-
-    Alternates large-star and small-star; each round keeps the components, moves every node's edges to a smaller
-    neighbour and is written, so neither lineage nor edges grow. Minima are pre-aggregated; the joins are
-    inner, so a hub's rows are split by adaptive execution."""
-    current = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        current = written(small)
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        seen = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -6,18 +6,25 @@ program gives part i a threshold t_i of -1 or more, with sum(t_i + 1) = radius +
 candidates: by the general pigeonhole principle, whatever lies within the radius then lies within t_i in some part i,
 so probing all values within t_i of the query's value in each part finds every link. Candidates are verified on all bits.
 
+The pipeline's near-duplicates take the same links, of five-word shingles, and check them on whole shingle sets. A similarity of
+0.8 is about ten of 64 bits, beyond any radius that a pigeonhole search can afford, so what the radius leaves is found by an exact
+prefix-filter join of the sets of what the links haven't joined yet (see alike_components).
+
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows have equal fingerprints.
 A null id never becomes a component's name unless all its ids are null. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, connected_components, table, written
+from .common import ASCII_LOWER, connected_components, free_name, table, written
 
 #: The histogram of a part has at most 2**HIST_BITS cells, whatever the corpus; wider parts are estimated from it.
 HIST_BITS = 16
@@ -27,24 +34,36 @@ PROBE_COST = 4.0
 CELL_ROWS = 4096
 
 
-def fingerprint(data: bytes | None, words_per_shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a UTF-8 text: bit i is set if it is set in over half the shingles' XXH64 (seed 42)."""
+def shingle_slices(data: bytes | None, words_per_shingle: int):
+    """XXH64 (seed 42) of a UTF-8 text's shingles, repeats included, in their order: arrays of at most 65536."""
     from xxhash import xxh64_intdigest
 
     joined = b" ".join((data or b"").translate(ASCII_LOWER).split())
     if not joined:
-        return 0
+        return
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
     k = min(words_per_shingle, len(starts))
-    n, ones = len(starts) - k + 1, np.zeros(64, np.int64)
+    n = len(starts) - k + 1
     for at in range(0, n, 65536):
         stop = min(n, at + 65536)
-        h = np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:stop], ends[at + k - 1 : stop + k - 1], strict=True)], "<u8")
+        yield np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:stop], ends[at + k - 1 : stop + k - 1], strict=True)], "<u8")
+
+
+def majority(slices) -> int:
+    """The fingerprint of hashes: bit i is set if it is set in over half of them."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in slices:
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(data: bytes | None, words_per_shingle: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of a UTF-8 text: bit i is set if it is set in over half the shingles' hashes."""
+    return majority(shingle_slices(data, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """(id, text_hash, fp) for each row, fp the fingerprint's bits as a signed long."""
 
@@ -203,7 +222,7 @@ def links(unique: DataFrame, radius: int = 3, parts: int | None = None) -> DataF
     i = unique.select("fp").mapInPandas(index, f"{shape}, x long").alias("i")
     p = unique.select("fp").mapInPandas(probes, f"{shape}, q long").alias("p")
     same = (F.col("i.part") == F.col("p.part")) & (F.col("i.value") == F.col("p.value")) & (F.col("i.salt") == F.col("p.salt"))
-    found = i.join(p.hint("shuffle_hash"), same & (F.col("x") < F.col("q")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("q"))) <= radius))
+    found = i.join(p, same & (F.col("x") < F.col("q")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("q"))) <= radius))
     return found.select(F.col("x").alias("a"), F.col("q").alias("b"))
 
 
@@ -225,8 +244,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SAMPLED, LISTED = 8, 200_000
 #: Rows whose shingle sets a Python worker holds at a time.
 HELD_ROWS = 256
-#: Bits of the table that tells which texts may be wanted, 2**MARK_BITS whatever the number of rows.
+#: Bits of a set's parity: the join compares so many before it puts out a candidate.
+PARITY_BITS = 512
+#: Leaders that a cell's members are compared with in a round; rounds go on while one joins this share of the components at hand.
+LEADERS, WORTH = 4, 0.01
+#: Bits of a table that tells which rows may be wanted: 2**MARK_BITS whatever the number of rows, 8 MB. Past some ten
+#: million marks it tells little, and more rows are exchanged; what comes out is the same.
 MARK_BITS = 26
+#: Of a cell's hash so many bits are counted to see which cells may stand twice.
+CELL_BITS = 40
 
 
 def sliced(batches):
@@ -235,16 +261,8 @@ def sliced(batches):
 
 
 def shingle_hashes(data: bytes | None, words_per_shingle: int) -> np.ndarray:
-    """The set of a text's shingles as ascending XXH64 (seed 42), of the whole text."""
-    from xxhash import xxh64_intdigest
-
-    joined = b" ".join((data or b"").translate(ASCII_LOWER).split())
-    if not joined:
-        return np.zeros(0, "<u8")
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
-    k = min(words_per_shingle, len(starts))
-    return np.unique(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=False)], "<u8"))
+    """The set of a text's shingles as ascending hashes, of the whole text."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_slices(data, words_per_shingle)]))
 
 
 def frequent_shingles(texts: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,6 +295,72 @@ def prefix(hashes: np.ndarray, listed: np.ndarray, counts: np.ndarray, similarit
     return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
+def parity_words(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as longs, each the parity of the number of hashes that fall on it. Two sets differ in at least as
+    many elements as their parities differ in bits, so a difference that is too great is known without the sets."""
+    odd = (np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8")
+
+
+def bit_table(wanted: DataFrame) -> np.ndarray:
+    """2**MARK_BITS bits as longs, those at wanted.place set; put together in pieces of 64 bits, so its size is all that the driver holds."""
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    got = wanted.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    marks = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    marks[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return marks
+
+
+def is_marked(marks: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (marks[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def maybe_in(rows: DataFrame, place, wanted: DataFrame) -> DataFrame:
+    """The rows whose place (a column of longs under 2**MARK_BITS) stands in wanted(place), without an exchange: by a bit table of
+    fixed size. As several values may share a place it lets some others through, never fewer."""
+    shared = rows.sparkSession.sparkContext.broadcast(bit_table(wanted))
+
+    @F.pandas_udf("boolean")
+    def marked(place: pd.Series) -> pd.Series:
+        return pd.Series(is_marked(shared.value, place.to_numpy(np.int64)))
+
+    return rows.where(marked(place))
+
+
+def top_bits(hashed, bits: int) -> F.Column:
+    return F.shiftrightunsigned(hashed, 64 - bits)
+
+
+def shared_cells(fps: DataFrame) -> DataFrame:
+    """(node, n, at, cell) for each cell of a node's prefix that another node's prefix has too; fps: (node, shingles, cells), nodes may repeat.
+
+    Nearly all cells stand in one prefix. So first CELL_BITS of each are counted, which is all of the index that is
+    exchanged whole; the rows of what was counted twice are then told by a bit table, and settled by an exact join."""
+    twice = written(fps.select(F.explode("cells").alias("cell")).groupBy(top_bits("cell", CELL_BITS).alias("c")).agg(F.count("*").alias("n")).where("n > 1").select("c"))
+
+    def kept(batches):
+        for b in sliced(batches):
+            sizes = np.array([len(x) for x in b["cells"]], np.int64)
+            cell = np.concatenate([np.zeros(0, np.int64), *b["cells"]]).astype(np.int64)
+            at = np.arange(len(cell)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            stay = is_marked(shared.value, (cell.view("<u8") >> np.uint64(64 - MARK_BITS)).astype(np.int64))
+            node, n = (np.repeat(b[c].to_numpy(), sizes)[stay] for c in ("node", "shingles"))
+            yield pd.DataFrame({"node": node, "n": n, "at": at[stay].astype(np.int32), "cell": cell[stay]})
+
+    shared = fps.sparkSession.sparkContext.broadcast(bit_table(twice.select(F.shiftright("c", CELL_BITS - MARK_BITS).alias("place"))))
+    index = fps.select("node", "shingles", "cells").mapInPandas(kept, "node long, n int, at int, cell long")
+    index = written(index.groupBy("cell", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")))
+    several = index.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("cell")
+    return written(index.join(several, "cell", "left_semi"))
+
+
+def parity_words(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as longs, each the parity of the number of hashes that fall on it. Two sets differ in at least as
+    many elements as their parities differ in bits, so a difference that is too great is known without the sets."""
+    odd = (np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8")
+
+
 def maybe_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of texts with a text_hash of wanted, and few others, without an exchange: by a bit table of fixed size."""
     at = F.shiftrightunsigned("text_hash", 64 - MARK_BITS)
@@ -293,16 +377,17 @@ def maybe_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.where(marked(at))
 
 
-def alike_components(unique: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """(node, root) by links between nodes of unique(node, text_hash, shingles, cells) whose shingle sets are of that similarity or more.
-
-    texts: (text_hash, data); cells: the sets' prefixes. An exact prefix-filter join: two such sets share a shingle within both
-    prefixes, and at the first one that they share there is room for the overlap that they need behind it. Candidates are
-    compared on their whole shingle sets.
+def alike_components(unique: DataFrame, cells: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int, radius: int = 3) -> DataFrame:
+    """(node, root) by links between nodes of unique(node, text_hash, shingles, fp, parity) whose shingle sets are of that similarity or more.
 
-    Links are found in two passes, so a large group of near copies doesn't put out its pairs: first the members of a cell are
-    verified against the cell's least node alone; then only candidates that aren't in one component by then. A pair left
-    out of the second pass is connected already, so components are those of all links."""
+    texts: (text_hash, data); cells: what the sets' prefixes share, as from shared_cells. Every candidate is compared on whole shingle sets. Candidates are, in turn:
+    1. nodes whose fingerprints are linked (`links`: bit groups, allocated thresholds, probe, verify);
+    2. in rounds, members of a cell and a few leaders of it, picked anew by a hash, where they aren't in one component yet;
+    3. all members of a cell that aren't in one component by then.
+    The last is an exact prefix-filter join: two such sets share a shingle within both prefixes, and at the first one that
+    they share there is room for the overlap that they need behind it; their parities may differ in no more bits than such sets
+    in elements. Pairs of one component aren't put out, so a large group of near copies costs a few comparisons a member,
+    and components are those of all links. No pair is dropped: 1 and 2 only make 3 small."""
 
     def alike(batches):
         for b in batches:
@@ -324,23 +409,58 @@ def alike_components(unique: DataFrame, texts: DataFrame, similarity: float, wor
         left, right = (unique.select(F.col("node").alias(k), F.col("shingles").alias(f"n{k}"), F.col("text_hash").alias(f"text_{k}")) for k in "ab")
         pairs = written(met.join(left, "a").join(right, "b").where(sized("na", "nb")).select("a", "b", "text_a", "text_b"))
         wanted = written(pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_hash")).distinct())
-        held = written(maybe_wanted(texts, wanted).join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("data").alias("data")))
+        held = written(maybe_in(texts, top_bits("text_hash", MARK_BITS), wanted.select(top_bits("text_hash", MARK_BITS).alias("place"))).join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("data").alias("data")))
         a, b = (held.select(F.col("text_hash").alias(f"text_{k}"), F.col("data").alias(f"data_{k}")) for k in "ab")
         return written(pairs.join(a, "text_a").join(b, "text_b").select("a", "b", "data_a", "data_b").mapInPandas(alike, "a long, b long"))
 
-    index = unique.select("node", F.col("shingles").alias("n"), F.posexplode("cells").alias("at", "cell"))
-    leaders = index.groupBy("cell").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = written(index.join(leaders, "cell"))  # without the shingles of one prefix alone, which are most
-    first = confirmed(shared.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    roots = written(connected_components(first))
-    known = written(shared.drop("leader").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root"))
-    mixed = known.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("cell")
-    known = written(known.join(mixed, "cell", "left_semi"))
+    def may_link(x: str, y: str, parity: bool = True) -> F.Column:
+        need = F.ceil(similarity / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6)
+        room = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))  # positions count from 0
+        if not parity:
+            return sized(f"{x}.n", f"{y}.n") & (room >= need)
+        differ = reduce(add, [F.bit_count(F.get(f"{x}.parity", F.lit(i)).bitwiseXOR(F.get(f"{y}.parity", F.lit(i)))) for i in range(PARITY_BITS // 64)])
+        return sized(f"{x}.n", f"{y}.n") & (room >= need) & (differ <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * need)
+
+    of_fp = unique.groupBy("fp").agg(F.min("node").alias("first"))
+    near = links(of_fp.select("fp"), radius)
+    ends = [of_fp.select(F.col("fp").alias(k), F.col("first").alias(f"n{k}")) for k in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    same = unique.join(of_fp, "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = confirmed(near.union(same).distinct())
+    roots = written(connected_components(found))
+
+    # members of a cell meet a few leaders: linear, so in the first round parities, which are most of a row, aren't carried
+    parities, turn = unique.select("node", "parity"), 0
+
+    def placed(cells: DataFrame, roots: DataFrame) -> DataFrame:
+        """cells that hold more than one component, with each node's; what lies in one component stays there."""
+        known = cells.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+        mixed = known.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("cell")
+        return known.join(mixed, "cell", "left_semi")
+
+    while True:
+        known = placed(cells, roots)
+        known = written(known.join(parities, "node") if turn else known)
+        cells = known.drop("component", "parity")
+        picks = [F.min_by(F.struct(*(c for c in known.columns if c != "cell")), F.xxhash64(F.lit(turn + i), "node")) for i in range(LEADERS)]
+        leaders = known.groupBy("cell").agg(F.array_distinct(F.array(*picks)).alias("l")).select("cell", F.explode("l").alias("l")).select("cell", "l.*")
+        x, q = known.alias("x"), leaders.alias("q")
+        met = x.join(q, (F.col("x.cell") == F.col("q.cell")) & (F.col("x.component") != F.col("q.component")) & may_link("x", "q", turn > 0))
+        new = confirmed(met.select(F.least("x.node", "q.node").alias("a"), F.greatest("x.node", "q.node").alias("b")).distinct())
+        found = new.count()
+        at_hand = known.agg(F.countDistinct("component")).first()[0] if found else 0
+        if found:
+            roots = written(connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(new)))
+        turn += LEADERS
+        if found <= WORTH * at_hand:
+            break
+    known = written(placed(cells, roots).join(parities, "node"))
     x, q = known.alias("x"), known.alias("q")
-    need = similarity / (1 + similarity) * (F.col("x.n") + F.col("q.n")) - 1e-6
-    room = F.least(F.col("x.n") - F.col("x.at"), F.col("q.n") - F.col("q.at"))  # positions count from 0
-    met = x.join(q, (F.col("x.cell") == F.col("q.cell")) & (F.col("x.node") < F.col("q.node")) & (F.col("x.component") != F.col("q.component")) & sized("x.n", "q.n") & (room >= need)).select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(confirmed(met)))
+    met = x.join(q, (F.col("x.cell") == F.col("q.cell")) & (F.col("x.node") < F.col("q.node")) & (F.col("x.component") != F.col("q.component")) & may_link("x", "q"))
+    last = confirmed(met.select(F.col("x.node").alias("a"), F.col("q.node").alias("b")).distinct())
+    if last.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(last))
 
 
 def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -356,15 +476,21 @@ def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         from xxhash import xxh64_intdigest
 
         for b in sliced(batches):
-            sets = [shingle_hashes(x, words_per_shingle) for x in b["data"]]
-            node = np.array([xxh64_intdigest(x.tobytes(), 42) for x in sets], "<u8").view(np.int64)
-            cells = [prefix(x, *order.value, similarity).view(np.int64) for x in sets]
-            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": node, "shingles": np.array([len(x) for x in sets], np.int32), "cells": cells}, index=b.index)
+            rows = []
+            for x in b["data"]:
+                hashes = list(shingle_slices(x, words_per_shingle))
+                whole = np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes]))
+                fp = np.array([majority(hashes)], np.uint64).view(np.int64)[0]
+                rows.append((np.array([xxh64_intdigest(whole.tobytes(), 42)], np.uint64).view(np.int64)[0], len(whole), fp, parity_words(whole), prefix(whole, *order.value, similarity).view(np.int64)))
+            node, shingles, fp, parity, cells = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": node, "shingles": np.array(shingles, np.int32), "fp": fp, "parity": parity, "cells": cells}, index=b.index)
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_hash, data)
-    fps = written(rows.mapInPandas(run, "id string, text_hash long, node long, shingles int, cells array<long>").withColumn("id", F.col("id").cast(kind)))
-    unique = written(fps.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("shingles").alias("shingles"), F.first("cells").alias("cells")))
-    roots = alike_components(unique.drop("least"), texts, similarity, words_per_shingle).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
+    shape = "id string, text_hash long, node long, shingles int, fp long, parity array<long>, cells array<long>"
+    fps = written(rows.mapInPandas(run, shape).withColumn("id", F.col("id").cast(kind)))
+    firsts = [F.first(c).alias(c) for c in ("shingles", "parity")]
+    unique = written(fps.drop("cells").groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), *firsts))
+    roots = alike_components(unique.drop("least"), shared_cells(fps), texts, similarity, words_per_shingle).withColumnRenamed("node", "n").withColumnRenamed("root", "r")
     grouped = unique.select("node", "least").join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("r", "node").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(grouped.join(named, "root").select("node", "component_id"))
@@ -373,12 +499,13 @@ def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs less all but the row of the least id of each component; of rows equal in id and text one stays."""
+    own = free_name(docs, "_hash")
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays"), F.col("text_hash").alias("_stays_hash"))
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_hash") == F.col("_stays_hash")), "left_semi")
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("m")
+    kept = marked.join(stay.alias("s"), F.col(f"m.{id_col}").eqNullSafe(F.col("s._stays")) & (F.col(f"m.{own}") == F.col("s._stays_hash")), "left_semi")
     # texts are exchanged once more only if some row stands several times
     repeated = stay.groupBy("_stays", "_stays_hash").agg(F.count("*").alias("n")).where("n > 1")
-    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, "_hash"])).drop("_hash")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, own])).select(docs.columns)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
