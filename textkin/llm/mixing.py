@@ -73,12 +73,14 @@ def budgets(leaves: list[tuple[tuple, float]], weight, total: float, max_epochs:
     return out
 
 
-def mix(docs: DataFrame, weight, total_share: float, max_epochs: int = 2, path: tuple[str, ...] = PATH, id_col: str = "doc_id", tokens_col: str = "n_tokens", seed: int = SEED, extra_order: tuple[str, ...] = ()) -> DataFrame:
-    """docs (with path columns and tokens_col), a row for each time a row is taken, with epoch, leaf_budget and tokens_before.
+def mix(docs: DataFrame, weight, total_share: float, max_epochs: int = 2, path: tuple[str, ...] = PATH, id_col: str = "doc_id", tokens_col: str = "n_tokens", seed: int = SEED, out: tuple[str, str, str] = ("epoch", "leaf_budget", "tokens_before")) -> DataFrame:
+    """docs (with path columns and tokens_col), a row for each time a row is taken, with the epoch, the leaf's budget and the tokens before it.
 
-    The budget is total_share of all tokens."""
+    These three are called as `out` says; a column of docs of such a name is replaced. The budget is total_share of all tokens.
+    Rows equal in id are ordered by a hash of their other columns, and null ids are spread by it."""
     spark = docs.sparkSession
-    docs = docs.drop("epoch", "leaf_budget", "tokens_before")  # a column called like an output is replaced
+    epoch, leaf_budget, tokens_before = out
+    docs = docs.drop(*out)
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in path]
     named = docs.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
     ks = [f"_k{i}" for i in range(len(path))]
@@ -89,20 +91,22 @@ def mix(docs: DataFrame, weight, total_share: float, max_epochs: int = 2, path:
     plan = budgets(sizes, weight, total_share * sum(t for _, t in sizes), max_epochs)
     own = dict(sizes)
     rows = [] if not sizes else [(*p, e, float(plan[p] - e * own[p])) for p in plan for e in range(max_epochs) if plan[p] - e * own[p] > 1e-9]
-    shape = ", ".join(f"{k} string" for k in ks) + ", epoch int, leaf_budget double"
+    shape = ", ".join(f"{k} string" for k in ks) + f", `{epoch}` int, `{leaf_budget}` double"
     # a row a leaf and epoch; were it joined by a shuffle on the leaf, a hot leaf would stay in that one partition below
     targets = spark.createDataFrame(rows, shape)
     wanted = named.join(F.broadcast(targets) if len(rows) <= BROADCAST_LEAVES else targets, ks)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    hashed = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    wanted = wanted.withColumn("_row", F.xxhash64(*hashed))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.col("_row").cast("string")))))
     wanted = wanted.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, digits)).withColumn("_tokens", tokens)
-    cell = [*ks, "epoch", "_range"]
+    cell = [*ks, epoch, "_range"]
     if len(rows) > BROADCAST_LEAVES:
         wanted = wanted.repartition(*cell)
     sums = wanted.groupBy(*cell).agg(F.sum("_tokens").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*ks, "epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    inside = F.coalesce(F.sum("_tokens").over(Window.partitionBy(*cell).orderBy("_order", id_col, *extra_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = wanted.withColumn("_inside", inside).join(before, cell).withColumn("tokens_before", F.col("_before") + F.col("_inside"))
-    return ranked.where(F.col("tokens_before") + F.col("_tokens") / 2 <= F.col("leaf_budget")).drop(*ks, "_order", "_range", "_tokens", "_inside", "_before")
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*ks, epoch).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum("_tokens").over(Window.partitionBy(*cell).orderBy("_order", id_col, "_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = wanted.withColumn("_inside", inside).join(before, cell).withColumn(tokens_before, F.col("_before") + F.col("_inside"))
+    return ranked.where(F.col(tokens_before) + F.col("_tokens") / 2 <= F.col(leaf_budget)).drop(*ks, "_row", "_order", "_range", "_tokens", "_inside", "_before")
 
 
 #: Target weights of the domains, into which sources fall by a hash of their name; languages and sources below weigh as listed, else 1.
