@@ -10,7 +10,8 @@ The as-of join is a last-value scan by URL over time. A URL that holds a third o
 scanned by itself; what comes before a block, its URL's latest response, is a scan over the blocks.
 
 A null URL or time never resolves nor serves; rows equal in URL and time are ordered by record_id; repeated rows resolve
-alike; a null payload is a payload. An empty table gives an empty table.
+alike, one row for each; a null payload is a payload; null headers are no headers. Header names are compared without regard to
+case. Other columns are left out, and their names don't matter. Very long URLs and payloads are taken whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ def resolve(captures: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFram
     """The revisits of captures (record_id, url, ts long, record_type, etag, last_modified, headers map, payload) with
     canonical_url, refers_to, outcome ('resolved', 'changed', 'no validator', 'no response'), merged_headers, and payload of the response.
 
-    Payloads don't travel through the scan: only record ids do, and resolved ones fetch theirs by a join. A response that several
-    revisits refer to is fetched once, then joined; adaptive execution can split it, as that join reads written payloads."""
+    Payloads don't travel through the scan: only record ids do, and resolved ones fetch theirs by one join, whose both sides are
+    exchanged and nothing else, so adaptive execution can split a response that very many revisits refer to. Only where a
+    response's record id repeats are payloads brought to one row an id first (the least payload stays)."""
     slim = written(captures.withColumn("canonical_url", canonical(F.col("url"))).select("canonical_url", "record_id", "ts", "record_type", "etag", "last_modified", "headers").withColumn("block", F.floor(F.col("ts") / block_seconds)))
     full = F.when(F.col("record_type") == "response", F.struct("ts", "record_id", "etag", "last_modified", "headers"))
     # the latest response of each (URL, block), carried to later blocks
@@ -61,14 +63,18 @@ def resolve(captures: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFram
         .when(F.col("last_modified").isNotNull() & F.col("f.last_modified").isNotNull(), F.when(F.col("last_modified") >= F.col("f.last_modified"), F.when(F.col("last_modified") == F.col("f.last_modified"), "resolved").otherwise("changed")).otherwise("changed"))
         .otherwise("no validator")
     )
-    own = F.map_filter(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: F.lower(k).isin(*PERMITTED))
-    kept = F.map_filter(F.coalesce("f.headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.array_contains(F.map_keys(own), k))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    own = F.map_filter(F.coalesce("headers", none), lambda k, v: F.lower(k).isin(*PERMITTED))
+    named = F.transform(F.map_keys(own), F.lower)
+    kept = F.map_filter(F.coalesce("f.headers", none), lambda k, v: ~F.array_contains(named, F.lower(k)))  # header names have no case
     out = found.withColumn("outcome", outcome).withColumn("refers_to", F.when(F.col("outcome") == "resolved", F.col("f.record_id")))
     out = written(out.withColumn("merged_headers", F.when(F.col("outcome") == "resolved", F.map_concat(kept, own))).drop("f", "block"))
-    wanted = out.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("_record")).distinct()
     held = captures.where("record_type = 'response'").select(F.col("record_id").alias("_record"), "payload")
-    held = written(held.join(wanted, "_record", "left_semi").dropDuplicates(["_record"]))
-    return out.join(held, F.col("refers_to") == F.col("_record"), "left").drop("_record")
+    ids = slim.where("record_type = 'response' AND record_id IS NOT NULL").groupBy("record_id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1").isEmpty():
+        held = written(held.groupBy("_record").agg(F.min("payload").alias("payload")))
+    found = out.where("refers_to IS NOT NULL").join(held, F.col("refers_to") == F.col("_record"), "left").drop("_record")
+    return found.unionByName(out.where("refers_to IS NULL").withColumn("payload", F.lit(None).cast(held.schema["payload"].dataType)))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
