@@ -8,7 +8,8 @@ The least rank is found by a scan, its boundary deleted and the two neighbouring
 left. A word of over SHORT parts does the same merges, in the same order, from a heap of (rank, place), as scanning a
 long array again and again would take quadratic time. Ties go to the leftmost pair.
 
-Null texts are empty texts: no ids, empty decoded text. Special tokens written in a text are those tokens. The vocabulary
+Null texts are empty texts: no ids, empty decoded text. Texts are encoded whole; repeated rows get equal ids; a column called like
+an output is replaced, others pass through. An empty table gives an empty table. Special tokens written in a text are those tokens. The vocabulary
 is the one broadcast value: its size is the file's, whatever the corpus.
 """
 

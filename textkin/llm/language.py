@@ -5,10 +5,11 @@ to CELLS cells: (1 + ln tf) idf, scaled to unit length. Each language has up to
 k-means. A text goes to the language of the centroid of greatest cosine. The score is the softmax share, over languages,
 of their best cosines. A text farther from its centroid than nearly all texts that the centroid was made from is marked
 in `rejected`; it keeps its language. Document frequencies cover all training texts; the clustering is fitted on at most
-about FIT_TEXTS texts a language, those whose id hashes lowest.
+about FIT_TEXTS texts a language, those whose id and text hash lowest; equal rows enter it once.
 
 Null texts and texts without a letter are `und` with score 0. If nothing can be learned, all texts are `und`.
-Rows with a null language are never learned from. Other columns don't matter.
+Rows with a null language are never learned from. Texts are read whole; equal ones get equal answers; of languages at equal
+cosine the first in order is taken. Other columns don't matter. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -110,9 +111,11 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     df[got["cell"].to_numpy(int)] = got["n"].to_numpy()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
     sizes = {r[0]: r[1] for r in train.groupBy(lang_col).count().collect()}  # a row a language
-    low = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 32)) / float(1 << 32)
+    drawn = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
+    low = F.pmod(drawn, F.lit(1 << 32)) / float(1 << 32)
     limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, fit_texts / n)))]) if sizes else F.create_map()
-    sample = train.where(low < F.element_at(limit, F.col(lang_col))) if sizes else train.limit(0)
+    picked = train.where(low < F.element_at(limit, F.col(lang_col))) if sizes else train.limit(0)
+    sample = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), drawn.alias("drawn")).dropDuplicates(["lang", "drawn"])
 
     def sparse(batches):
         for b in batches:
@@ -121,7 +124,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                     at = np.flatnonzero(c)
                     yield pd.DataFrame({"lang": [lang], "at": [at.astype(np.int32).tobytes()], "n": [c[at].astype(np.int32).tobytes()]})
 
-    rows = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(sparse, "lang string, at binary, n binary").toPandas()
+    rows = sample.select("lang", "text").mapInPandas(sparse, "lang string, at binary, n binary").toPandas()
     langs, cents, of, reach = [], [], [], []
     for lang in sorted(rows["lang"].unique()):
         own = rows[rows["lang"] == lang].sort_values(["at", "n"], key=lambda s: s.map(bytes)).head(2 * fit_texts)

@@ -8,7 +8,8 @@ part falls under 0, its gradient is climbed instead. The class prior is the shar
 or, without negative ones, the share of unlabelled texts that a first positive-against-unlabelled model can't tell from
 positives. Fitted on at most about FIT_TEXTS positives and as many unlabelled texts, those whose ids hash lowest.
 
-Null and empty texts get a score too. Without a positive label every score is the prior 0.5. Labels that are null or
+Null and empty texts get a score too; texts are read whole, and equal ones score alike. An empty table gives an empty table. Ids
+that repeat, or are null, are drawn by their texts too, and equal (id, text) rows enter the fit once, so its bound holds. Without a positive label every score is the prior 0.5. Labels that are null or
 outside 0 and 1 aren't used; an id with several labels counts with each. Other columns don't matter.
 """
 
@@ -101,8 +102,11 @@ def share_like(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(np.median(first.score(unlabelled[held])) / max(1e-6, np.median(first.score(positive[held]))), 0.05, 0.95))
 
 
-def lowest(df: DataFrame, id_col: str, most: int, n: int) -> DataFrame:
-    return df.where(F.pmod(F.xxhash64(F.lit(13), F.col(id_col)), F.lit(1 << 32)) / float(1 << 32) < min(1.0, most / max(1, n)))
+def lowest(df: DataFrame, by: list[str], most: int, n: int) -> DataFrame:
+    """About `most` of n rows, those whose hash of the columns `by` is lowest, rows equal in it once."""
+    h = F.xxhash64(F.lit(13), *by)
+    low = df.withColumn("_h", h).where(F.pmod("_h", F.lit(1 << 32)) / float(1 << 32) < min(1.0, most / max(1, n)))
+    return low.dropDuplicates(["_h"]).drop("_h")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_texts: int = FIT_TEXTS) -> Model | None:
@@ -111,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tally = {r[0]: r[1] for r in trusted.groupBy("label").count().collect()}
     if not tally.get(1):
         return None
-    picked = lowest(trusted.where("label = 1"), id_col, fit_texts, tally[1]).select(id_col).distinct()
+    picked = lowest(trusted.where("label = 1").select(id_col), [id_col], fit_texts, tally[1])
     picked_ids = F.broadcast(picked)  # at most about fit_texts ids
 
     def run(batches):
@@ -120,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pd.DataFrame({"positive": b["positive"], "x": [features(t if isinstance(t, str) else None).astype(np.float16).tobytes() for t in b["text"]]})
 
     text = F.col(text_col).alias("text")
-    p = docs.join(picked_ids, id_col, "left_semi").select(F.lit(True).alias("positive"), text)
-    u = lowest(docs, id_col, fit_texts, docs.count()).select(F.lit(False).alias("positive"), text)
+    p = docs.select(id_col, text).join(picked_ids, id_col, "left_semi").dropDuplicates([id_col, "text"]).select(F.lit(True).alias("positive"), "text")
+    u = lowest(docs.select(id_col, text), [id_col, "text"], fit_texts, docs.count()).select(F.lit(False).alias("positive"), "text")
     rows = p.union(u).mapInPandas(run, "positive boolean, x binary").toPandas()
     rows = rows.sort_values(["positive", "x"], key=lambda s: s.map(bytes) if s.name == "x" else s)
     x = np.frombuffer(b"".join(rows["x"]), np.float16).astype(np.float32).reshape(-1, FEATURES)

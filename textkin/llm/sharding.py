@@ -7,7 +7,7 @@ share of a shard's mean bytes), stands beside the one row that crosses the targe
 Only (interval, bytes, rows) come to the driver: at most shards * 2**DIGIT rows a round. One exchange then deals rows by
 (shard, key range), and gives each its slot: rows in earlier ranges of the shard plus its rank in the range.
 
-Rows equal in the whole key lie in one shard. Null sizes count as zero, null keys as key 0. An empty table gives an empty
+Rows equal in the whole key lie in one shard, in one range; ties in it are ordered by `order`. Null sizes count as zero, null keys as key 0. An empty table gives an empty
 table. Other columns pass through.
 """
 
@@ -70,7 +70,10 @@ def histogram_shards(df: DataFrame, shards: int, key_col: str, size_col: str, to
     key = F.coalesce(F.col(key_col), F.lit(0))
     n = rows.count()
     bits = min(30, max(8, (max(1, n // RANGE_ROWS)).bit_length() + 1))
-    marked = df.withColumn("shard", reduce(add, [(key >= F.lit(c)).cast("int") for c in cuts], F.lit(0))).withColumn("_range", F.shiftright(key, KEY_BITS - bits))
+    # ranges cut the span that the keys take, so narrow keys such as plain ids are as many tasks as hashes
+    span = rows.agg(F.min("key"), F.max("key")).first()
+    low, wide = span[0] or 0, max(0, (span[1] or 0) - (span[0] or 0)).bit_length()
+    marked = df.withColumn("shard", reduce(add, [(key >= F.lit(c)).cast("int") for c in cuts], F.lit(0))).withColumn("_range", F.shiftright(key - F.lit(low), max(0, wide - bits)))
     counts = marked.groupBy("shard", "_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_range", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_range").orderBy(key, *order)) - 1)

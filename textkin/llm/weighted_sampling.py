@@ -25,8 +25,8 @@ from .common import ASCII_LOWER, table, written
 SAMPLES = 64
 #: Terms whose variates a worker remembers, 1 kB each; they are a function of the term, so forgetting changes nothing.
 CACHED_TERMS = 40_000
-#: Of text in a range of ids.
-RANGE_BYTES = 32 << 20
+#: Of text in a range of ids, and the most ranges. A range streams through its task, so a large one takes no more memory.
+RANGE_BYTES, RANGES = 32 << 20, 16384
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("order"), F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = F.col("order").desc_nulls_last()
-    dealt = rows.repartitionByRange(max(1, -(-size // RANGE_BYTES)), order).sortWithinPartitions(order, F.xxhash64("text")).select("id", "text")
+    dealt = rows.repartitionByRange(max(1, min(RANGES, -(-size // RANGE_BYTES))), order).sortWithinPartitions(order, F.xxhash64("text")).select("id", "text")
     kind = docs.schema[id_col].dataType.simpleString()
     shape = "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string, place int"
 
@@ -168,7 +168,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     found = written(dealt.mapInPandas(run, shape))
     ends = found.where("place IS NOT NULL").select("place", "id", "text")
-    places = [r[0] for r in ends.select("place").orderBy("place").collect()]  # two a range
+    places = [r[0] for r in ends.select("place").orderBy("place").collect()]  # two a range, so at most 2 * RANGES
     heads = {p: places[(i + 1) % len(places)] for i, p in enumerate(places) if p % 2}
     waiting = ends.where("place % 2 = 1")
     if heads:
