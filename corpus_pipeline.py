@@ -1,6 +1,12 @@
 """A corpus from documents: quality rules, quality classifier, near-dedup, mixing, tokens.
 
-Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns; the last one returns tokens."""
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns; the last one returns tokens.
+
+In every stage null and empty texts, very long ones, ties, repeated rows and an empty table are defined: null and empty texts fail the
+quality rules, so none reaches later stages of run(); given one, the classifier scores it, near_dedup takes it as a copy of the other
+ones, the mix takes it as no tokens, and it has no ids. Texts are taken whole. Rows equal in all columns are rows of their own until
+near_dedup, where one stays. A null id, language or source is a value like any other. Columns that documents hasn't got pass through,
+whatever their names. An empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkin.llm import bpe, line_rules, mixing, quality_model, simhash
-from textkin.llm.common import table, words, written
+from textkin.llm.common import free_name, table, words, written
 
 #: Near-duplicates in the pipeline: sets of five-word shingles with a similarity of 0.8 or more.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -25,18 +31,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled model accepts; it never sees a held-out label."""
     model = quality_model.fit_on_known(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return quality_model.scored(docs, model, out_col="_score").where(F.col("_score") >= quality_model.ACCEPT).select(docs.columns)
+    score = free_name(docs, "_score")
+    return quality_model.scored(docs, model, out_col=score).where(F.col(score) >= quality_model.ACCEPT).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each SimHash component, one row of it."""
+    """The document of the least id of each component of SimHash links and set links, one row of it."""
     return simhash.deduplicated(docs, words_per_shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents up to their sources' budgets; a second epoch repeats rows."""
-    sized = docs.withColumn("_domain", mixing.domain_of(F.col("source"))).withColumn("_tokens_of", F.size(words(F.col("text"))).cast("long"))
-    return mixing.mix(sized, mixing.target_weight, MIX_SHARE, MAX_EPOCHS, path=("_domain", "lang", "source"), tokens_col="_tokens_of").select(docs.columns)
+    domain, tokens, *out = (free_name(docs, c) for c in ("_domain", "_tokens_of", "_epoch_of", "_leaf_budget", "_tokens_before"))
+    sized = docs.withColumn(domain, mixing.domain_of(F.col("source"))).withColumn(tokens, F.size(words(F.col("text"))).cast("long"))
+    return mixing.mix(sized, mixing.target_weight, MIX_SHARE, MAX_EPOCHS, path=(domain, "lang", "source"), tokens_col=tokens, out=tuple(out)).select(docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
