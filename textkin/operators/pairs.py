@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +23,44 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("terms").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).select("class_id", "terms", "n")
 
 
+#: Longs of a set's parity bits.
+PARITY_WORDS = 4
+
+
+def parity(terms: F.Column) -> list[F.Column]:
+    """PARITY_WORDS longs, each bit the parity of the number of terms that hash to it: two sets differ in no fewer terms than their bits differ."""
+    hashes = F.transform(terms, lambda t: F.xxhash64(t))
+    fold = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+
+    def of(k: int) -> F.Column:
+        return F.aggregate(F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 6), F.lit(PARITY_WORDS)) == k), F.lit(0).cast("long"), fold)
+
+    return [of(k) for k in range(PARITY_WORDS)]
+
+
 def jaccard_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score) for all pairs a < b of reps(class_id, terms) with a Jaccard similarity of at least threshold.
 
-    A set's tokens are ordered from rare to frequent. Two sets that similar share a token among the first
-    n - ceil(threshold n) + 1 of each, and their sizes differ by no more than that factor, so only those tokens are
-    joined: frequent tokens rarely are among them. The result is exact; nothing is capped."""
-    reps = written(reps.select("class_id", "terms", F.size("terms").alias("n")))
+    A set's tokens are ordered from rare to frequent. Of two sets that similar, the smaller one's first n - ceil(2t/(1+t) n) + 1 tokens
+    and the larger one's first n - ceil(t n) + 1 share a token; so only those are joined, and only within sizes that
+    can be that similar: sets are dealt by the logarithm of their size, the smaller looks in its own class and the next.
+    A pair comes out of the join only if there are tokens enough after the one they meet on, and their parities differ in
+    no more bits than such sets in tokens. The result is exact; nothing is capped."""
+    reps = written(reps.select("class_id", "terms", F.size("terms").alias("n"), *(c.alias(f"p{k}") for k, c in enumerate(parity(F.col("terms"))))))
     tokens = reps.select("class_id", "n", F.explode("terms").alias("term"))
     df = tokens.groupBy("term").agg(F.count("*").alias("df"))
+    # tokens in one set only come first and have no partner; places are counted from the frequent end
     ranked = tokens.join(df, "term").where("df > 1").withColumn("after", F.row_number().over(Window.partitionBy("class_id").orderBy(F.col("df").desc(), F.col("term").desc())))
-    # tokens in one set only have the first ranks and no partner; a set's prefix is counted from the frequent end
-    prefix = ranked.where(F.col("after") >= F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))).select("class_id", "n", "term")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.term") == F.col("y.term")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("y.n") >= F.col("x.n") * threshold) & (F.col("x.n") >= F.col("y.n") * threshold)
-    candidates = x.join(y, near).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
+    prefix = ranked.where(F.col("after") >= F.ceil(F.col("n") * threshold - 1e-9)).withColumn("size", F.floor(F.ln("n") / float(-np.log(threshold)) + 1e-9))
+    prefix = written(prefix.select("class_id", "n", "term", "after", "size").join(reps.drop("terms", "n"), "class_id"))
+    need = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    small = prefix.where(F.col("after") >= F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9)).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+    x, y = small.alias("x"), prefix.alias("y")
+    differ = reduce(add, [F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY_WORDS)])
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class_id") < F.col("y.class_id")))
+    near = (F.col("x.term") == F.col("y.term")) & (F.col("x.size") == F.col("y.size")) & order & (F.col("x.n") >= F.col("y.n") * threshold - 1e-9)
+    met = near & (F.least("x.after", "y.after") >= need) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
+    candidates = x.join(y, met).select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b")).distinct()
     left, right = (reps.select(F.col("class_id").alias(k), F.col("terms").alias(f"t{k}")) for k in "ab")
     common = F.size(F.array_intersect("ta", "tb"))
     score = common / (F.size("ta") + F.size("tb") - common)
@@ -47,21 +74,20 @@ def analogs(pairs: DataFrame, k: int = 100) -> DataFrame:
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def greedy_groups(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_groups(pairs: DataFrame) -> DataFrame:
     """(main, member): in ascending id, an item not yet absorbed absorbs its later neighbours that aren't either.
 
-    Each round makes mains of the items without an undecided smaller neighbour, and absorbs those mains' neighbours."""
+    Each round makes mains of the items without an undecided smaller neighbour, and absorbs those mains' neighbours, until no edge is
+    left: the least undecided item is always decided, so rounds end."""
     edges = written(pairs.select("a", "b").distinct())
     taken = None
-    for _ in range(max_rounds):
+    while True:
         smaller = edges.select(F.col("b").alias("id")).distinct()
         mains = edges.select(F.col("a").alias("id")).distinct().join(smaller, "id", "left_anti")
-        absorbed = edges.join(mains.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("a").alias("main")).select("main", F.col("b").alias("member"))
-        absorbed = written(absorbed)
-        taken = absorbed if taken is None else taken.union(absorbed)
+        absorbed = written(edges.join(mains.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("a").alias("main")).select("main", F.col("b").alias("member")))
+        taken = absorbed if taken is None else written(taken.union(absorbed))
         gone = absorbed.select(F.col("member").alias("id"))
         decided = written(gone.union(mains).distinct())
         edges = written(edges.join(decided.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
         if edges.isEmpty():
             return taken
-    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")

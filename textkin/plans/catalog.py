@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 def load() -> None:
     """Imports the modules that register plans."""
-    from . import graphs, params, reports, search, text  # noqa: F401
+    from . import clusters, graphs, indexes, params, reports, scores, search, text  # noqa: F401
 
 
 def queries() -> dict[str, Plan]:

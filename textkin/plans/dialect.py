@@ -62,6 +62,9 @@ class SparkDialect:
     def common(self, a: str, b: str) -> str:
         return f"array_intersect({a}, {b})"
 
+    def concat(self, a: str, b: str) -> str:
+        return f"concat({a}, {b})"
+
     def where(self, x: str, cond: str) -> str:
         """Elements x of an array for which cond holds."""
         return f"filter({x}, x -> {cond})"
@@ -156,6 +159,9 @@ class DuckDialect(SparkDialect):
     def common(self, a: str, b: str) -> str:
         return f"list_intersect({a}, {b})"
 
+    def concat(self, a: str, b: str) -> str:
+        return f"list_concat({a}, {b})"
+
     def where(self, x: str, cond: str) -> str:
         return f"list_filter({x}, lambda x: {cond})"
 

@@ -6,14 +6,12 @@ from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dictionaries as D
 from ..functions import fuzzy
 from ..operators import graph, pairs
 from ..streaming import events as stream
 from .catalog import query
-from .dialect import DUCK, SPARK, plan, quoted, run
+from .dialect import DUCK, SPARK, plan, run
 from .search import hits, top
-from .text import first_group, names
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,13 +119,6 @@ def dbscan_grid(spark, sf_dir):
     return total.withColumn("quality", F.col("clusters") * (1 - F.col("noise")))
 
 
-@query("bfs_tree")
-def bfs_tree(spark, sf_dir):
-    edges = pairs.jaccard_pairs(doc_classes(spark, sf_dir), 0.6)
-    roots = graph.connected_components(edges.select("a", "b")).select("root").distinct()
-    return graph.bfs_levels(edges, roots)
-
-
 @query("minhash_lsh")
 def minhash_lsh(spark, sf_dir):
     reps = doc_classes(spark, sf_dir)
@@ -150,16 +141,6 @@ for _name, _kernel in (("indel_ratio", fuzzy.ratio), ("partial_ratio", fuzzy.par
         return name_pairs(spark, sf_dir).withColumn("score", fuzzy.kernel(f)("a", "b"))
 
 
-@query("dup_score")
-def dup_score(spark, sf_dir):
-    """The weighted duplicate score of names that share a word: fuzzy .8, semantic .7 (word Jaccard here), parameter .6, brand .5."""
-    k = {n: fuzzy.kernel(f)(F.lower("a"), F.lower("b")) / 100 for n, f in (("ratio", fuzzy.ratio), ("partial", fuzzy.partial_ratio), ("sort", fuzzy.token_sort_ratio), ("set", fuzzy.token_set_ratio))}
-    df = name_pairs(spark, sf_dir).withColumns(k)
-    x, y = F.split(F.lower("a"), " "), F.split(F.lower("b"), " ")
-    df = df.withColumn("fuzzy", 0.3 * F.col("ratio") + 0.2 * F.col("partial") + 0.3 * F.col("sort") + 0.2 * F.col("set")).withColumn("semantic", F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
-    return df.withColumn("score", (0.8 * F.col("fuzzy") + 0.7 * F.col("semantic")) / 2.6)
-
-
 @query("fuzzy_search")
 def fuzzy_search(spark, sf_dir):
     """TF-IDF candidates re-scored by string ratios: .4 cosine + .3 best ratio + .3 plain ratio, five a query."""
@@ -186,11 +167,6 @@ m AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM t a JOIN t b ON a.term = b
 g AS (SELECT a, b, score FROM e UNION ALL SELECT b, a, score FROM e)"""
 
 
-@plan("jaccard_words")
-def _(d):
-    return f"WITH {edges_of_names(d)} SELECT a, b, score FROM e"
-
-
 @plan("analog_graph")
 def _(d):
     return f"WITH {edges_of_names(d)} SELECT a, b, score FROM g"
@@ -206,36 +182,6 @@ def _(d):
     return f"WITH {edges_of_names(d)} SELECT count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b"
 
 
-@plan("tree_root")
-def _(d):
-    return f"WITH {edges_of_names(d)} SELECT a AS node, count(*) AS degree, round(0.4e0 * count(*) + 0.3e0 * avg(score) + 0.3e0 * sum(score), 6) AS weight FROM g GROUP BY a"
-
-
-@plan("cluster_rep")
-def _(d):
-    return "SELECT p_type, p_name FROM (SELECT p_type, p_name, row_number() OVER (PARTITION BY p_type ORDER BY length(p_name), p_partkey) AS r FROM part) WHERE r = 1"
-
-
-@plan("hierarchy")
-def _(d):
-    return f"WITH {edges_of_names(d)} SELECT root, child, score FROM (SELECT a AS root, b AS child, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM e WHERE score >= 0.3e0) WHERE r <= 20"
-
-
-@plan("tree_stats")
-def _(d):
-    return f"WITH {edges_of_names(d)} SELECT {d.count_if('score > 0.8e0')} AS high, {d.count_if('score BETWEEN 0.6e0 AND 0.8e0')} AS middle, {d.count_if('score < 0.6e0')} AS low, count(DISTINCT a) AS roots FROM e"
-
-
-@plan("tree_text")
-def _(d):
-    return f"WITH {edges_of_names(d)} SELECT a AS root, {d.ordered_join(d.repeat(quoted('    '), '1') + ' || ' + quoted('- ') + ' || name', quoted(chr(10)) if d is DUCK else quoted(chr(10)), 'b')} AS tree FROM e JOIN i ON i.id = b GROUP BY a"
-
-
-@plan("simple_trees")
-def _(d):
-    return f"WITH {edges_of_names(d)} SELECT a AS root, count(*) AS n_children, max(score) AS best FROM g GROUP BY a"
-
-
 @plan("cluster_sizes")
 def _(d):
     return "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
@@ -246,50 +192,6 @@ def _(d):
     return f"SELECT label, CAST(pos AS BIGINT) AS pos, round(avg(CAST({d.at('embedding', 'CAST(pos AS INT)')} AS DOUBLE)), 5) AS x FROM (SELECT label, embedding, {d.explode(d.range('1', '64'))} AS pos FROM embeddings) GROUP BY label, pos"
 
 
-@plan("cluster_join")
-def _(d):
-    # pairs of the same cluster are counted, never put out
-    return "SELECT a.p_type AS cluster_label, a.n AS n_members, b.n AS n_names FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) a JOIN (SELECT p_type, count(DISTINCT p_name) AS n FROM part GROUP BY p_type) b ON a.p_type = b.p_type"
-
-
-@plan("noise_assign")
-def _(d):
-    # the three nearest of the clusters' members' mean cosines for each vector without a close neighbour
-    return f"""WITH v AS (SELECT vec_id AS id, label, embedding AS e, sqrt({d.dot("embedding", "embedding")}) AS m FROM embeddings), q AS (SELECT * FROM v WHERE id % 20 = 0),
-s AS (SELECT q.id, v.label, round(avg({d.dot("q.e", "v.e")} / (q.m * v.m)), 6) AS score FROM q JOIN v ON v.id <> q.id GROUP BY q.id, v.label) SELECT id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS r FROM s) WHERE r <= 3"""
-
-
-def neighbours(d) -> str:
-    return f"(SELECT a.id AS a, b.id AS b, a.name AS x, b.name AS y FROM {names(d)} a JOIN {names(d)} b ON b.id = a.id - 1)"
-
-
-@plan("key_param_sim")
-def _(d):
-    both = lambda p: f"CASE WHEN {d.size(d.common(d.extract_all('lower(x)', p), d.extract_all('lower(y)', p)))} > 0 THEN 1.0e0 ELSE 0.0e0 END"
-    return f"SELECT a, b, round(0.5e0 * {both(r'гост\s*[0-9]+[-0-9]*')} + 0.3e0 * {both(r'м[0-9]+[хx][0-9]+|[0-9]+[тt]|[0-9]+w|[0-9]+а')} + 0.2e0 * {both(r'[a-zа-я]{3,}')}, 6) AS score FROM {neighbours(d)}"
-
-
-@plan("functional_sim")
-def _(d):
-    return f"SELECT a, b, CASE WHEN {first_group('x', D.FUNCTIONAL_GROUPS, D.OTHER_GROUP, d)} = {first_group('y', D.FUNCTIONAL_GROUPS, D.OTHER_GROUP, d)} THEN 1 ELSE 0 END AS same FROM {neighbours(d)}"
-
-
-@plan("category_sim")
-def _(d):
-    return "SELECT a.p_partkey AS a, CASE WHEN a.p_type = b.p_type THEN 1.0e0 WHEN a.p_brand = b.p_brand THEN 0.7e0 ELSE 0.0e0 END AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
-
-
-@plan("technical_flag")
-def _(d):
-    return f"SELECT id, {d.matches('lower(name)', 'болт|гайка|кабель|насос|двигатель|клапан|труба|лампа|автомат|швеллер')} AS technical FROM {names(d)}"
-
-
-@plan("technical_boost")
-def _(d):
-    one = lambda p, w: f"CASE WHEN {d.matches('lower(x)', p)} AND {d.matches('lower(y)', p)} THEN {w}e0 ELSE 0.0e0 END"
-    return f"SELECT a, b, round(least(0.3e0, {one('гост', 0.1)} + {one('ip[0-9]{2}', 0.1)} + {one('м[0-9]+[хx][0-9]+', 0.1)} + {one('[0-9]+ ?(мм|кг|бар|шт)', 0.05)}), 6) AS boost FROM {neighbours(d)}"
-
-
 @query("stream_metrics", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def stream_metrics(spark, sf_dir):
     return stream.metrics(spark, sf_dir)

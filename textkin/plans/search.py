@@ -5,6 +5,7 @@ Postings are joined on the term; queries are the small side, so the term join's
 from __future__ import annotations
 
 from .dialect import plan
+from .text import names
 
 K = 5
 
@@ -105,11 +106,13 @@ SELECT qid, id, hits FROM tok_hits JOIN known USING (qid) WHERE hits = k"""
 
 @plan("token_subsets")
 def _(d):
-    # each distinct name is a query: pairs of its terms; every pair that an item holds counts (2/n) * 1 * 0.7, and the best per item is kept
-    return f"""WITH q AS (SELECT p_partkey AS qid, {d.explode(d.distinct(d.words("p_name")))} AS term FROM (SELECT min(p_partkey) AS p_partkey, p_name FROM part GROUP BY p_name)), n AS (SELECT qid, count(*) AS n FROM q GROUP BY qid),
-pairs AS (SELECT a.qid, a.term AS a, b.term AS b FROM q a JOIN q b ON a.qid = b.qid AND a.term < b.term),
-i AS (SELECT DISTINCT p_partkey AS id, {d.explode(d.distinct(d.words("p_name")))} AS term FROM part),
-h AS (SELECT pairs.qid, x.id, max(round(2.0e0 / n * 0.7e0, 6)) AS score FROM pairs JOIN i x ON x.term = a JOIN i y ON y.term = b AND y.id = x.id JOIN n ON n.qid = pairs.qid GROUP BY pairs.qid, x.id) {top("h", 20)}"""
+    # each distinct name of two or more words is a query: combinations of two and three of its terms, the 20 best items of each; an item's score for
+    # a combination is (size / n) * 1 * 0.7, as it holds all of it, and the best per item is kept
+    return f"""WITH base AS (SELECT min(p_partkey) AS qid, p_name AS name FROM part GROUP BY p_name UNION ALL SELECT id, name FROM {names(d)} WHERE id < 0), q AS (SELECT qid, {d.explode(d.distinct(d.words("name")))} AS term FROM base), n AS (SELECT qid, count(*) AS n FROM q GROUP BY qid),
+combos AS (SELECT a.qid, 2 AS size, a.term AS a, b.term AS b, b.term AS c FROM q a JOIN q b ON a.qid = b.qid AND a.term < b.term UNION ALL SELECT a.qid, 3, a.term, b.term, c.term FROM q a JOIN q b ON a.qid = b.qid AND a.term < b.term JOIN q c ON c.qid = b.qid AND b.term < c.term),
+i AS (SELECT DISTINCT id, {d.explode(d.distinct(d.words("name")))} AS term FROM {names(d)}),
+f AS (SELECT combos.qid, size, a, b, c, x.id, row_number() OVER (PARTITION BY combos.qid, size, a, b, c ORDER BY x.id) AS r FROM combos JOIN i x ON x.term = a JOIN i y ON y.term = b AND y.id = x.id JOIN i z ON z.term = c AND z.id = x.id),
+h AS (SELECT f.qid, id, max(round(size * 1.0e0 / n * 0.7e0, 6)) AS score FROM f JOIN n ON n.qid = f.qid WHERE r <= 20 GROUP BY f.qid, id) {top("h", 20)}"""
 
 
 @plan("prefix_search")
@@ -141,7 +144,7 @@ def vector_hits(d, least: str) -> str:
 vec_hits AS (SELECT qid, id, round({d.dot("e", "qe")} / nullif(norm * qn, 0), 6) AS score FROM v CROSS JOIN vq WHERE id <> qid AND {d.dot("e", "qe")} / nullif(norm * qn, 0) >= {least})"""
 
 
-for _name, _least in (("vector_search", "0.3e0"), ("vector_knn", "-1.0e0"), ("spatial_search", "0.0e0"), ("batch_vector_search", "0.5e0")):
+for _name, _least in (("vector_search", "0.3e0"), ("vector_knn", "-1.0e0"), ("spatial_search", "0.0e0"), ("batch_vector_search", "0.2e0")):
 
     @plan(_name)
     def _(d, least=_least):
@@ -173,20 +176,11 @@ u AS (SELECT qid, id, score AS fs, CAST(NULL AS DOUBLE) AS ss, rank AS fr, CAST(
 m AS (SELECT qid, id, max(fs) AS fs, max(ss) AS ss, max(fr) AS fr, max(sr) AS sr FROM u GROUP BY qid, id)"""
 
 
-FUSIONS = {
-    "hybrid_weighted": "SELECT qid, id, round(0.4e0 * coalesce(fs, 0) + 0.6e0 * coalesce(ss, 0), 6) AS score FROM m",
-    "fuse_weighted": "SELECT qid, id, round(0.4e0 * coalesce(fs, 0) + 0.6e0 * coalesce(ss, 0) + CASE WHEN fs IS NOT NULL AND ss IS NOT NULL THEN 0.1e0 * least(fs, ss) ELSE 0 END, 6) AS score FROM m WHERE coalesce(fs, 0) >= 0.5e0 OR coalesce(ss, 0) >= 0.05e0",
-    "fuse_rrf": "SELECT qid, id, round(coalesce(1.0e0 / (60 + fr), 0) + coalesce(1.0e0 / (60 + sr), 0), 6) AS score FROM m",
-    "fuse_consensus": "SELECT qid, id, round(least(1.0e0, (coalesce(fs, 0) * 0.4e0 + coalesce(ss, 0) * 0.6e0) / ((CASE WHEN fs IS NULL THEN 0 ELSE 1 END) + (CASE WHEN ss IS NULL THEN 0 ELSE 1 END)) + 0.1e0 * ((CASE WHEN fs IS NULL THEN 0 ELSE 1 END) + (CASE WHEN ss IS NULL THEN 0 ELSE 1 END) - 1)), 6) AS score FROM m",
-    "fuse_simple": "SELECT qid, id, round(0.4e0 * coalesce(fs, 0) + 0.6e0 * coalesce(ss, 0) + CASE WHEN fs IS NOT NULL AND ss IS NOT NULL THEN 0.1e0 ELSE 0 END, 6) AS score FROM m",
-    "fuse_cascade": "SELECT qid, id, round(CASE WHEN ss >= 0.7e0 THEN ss WHEN fs >= 0.5e0 THEN fs * 0.8e0 WHEN ss >= 0.1e0 THEN ss END, 6) AS score FROM m WHERE ss >= 0.1e0 OR fs >= 0.5e0",
-    "fuse_confidence": "SELECT qid, id, round(coalesce(ss, fs), 6) AS score FROM m",
+MEANS = {
     "token_hybrid": "SELECT qid, id, round(0.6e0 * coalesce(fs, 0) + 0.4e0 * coalesce(ss, 0), 6) AS score FROM m",
     "advanced_hybrid": "SELECT qid, id, round((0.4e0 * coalesce(fs, 0) + 0.35e0 * coalesce(ss, 0)) / ((CASE WHEN fs IS NULL THEN 0.0e0 ELSE 0.4e0 END) + (CASE WHEN ss IS NULL THEN 0.0e0 ELSE 0.35e0 END)), 6) AS score FROM m",
-    "facade_fallback": "SELECT qid, id, round(greatest(coalesce(fs, 0), coalesce(ss, 0)), 6) AS score FROM m WHERE ss >= 0.7e0 OR (fs >= 0.6e0 AND coalesce(ss, 0) < 0.7e0)",
-    "fuse_improved": "SELECT qid, id, round(least(1.0e0, (0.6e0 * coalesce(ss, 0) + 0.4e0 * coalesce(fs, 0)) * CASE WHEN fs IS NULL THEN 0.5e0 ELSE 1.0e0 END + CASE WHEN fs IS NOT NULL AND ss IS NOT NULL THEN 0.1e0 * least(fs, ss) ELSE 0 END), 6) AS score FROM m",
 }
-for _name, _sql in FUSIONS.items():
+for _name, _sql in MEANS.items():
 
     @plan(_name)
     def _(d, sql=_sql):
@@ -195,8 +189,12 @@ for _name, _sql in FUSIONS.items():
 
 @plan("extended_hybrid")
 def _(d):
-    return f"""WITH {hits(d)}, {token_hits(d)}, x AS (SELECT qid, id, 0.4e0 * max(e) + 0.25e0 * max(p) + 0.2e0 * max(s) AS score FROM (
-SELECT qid, id, CASE WHEN hits = n THEN 1.0e0 ELSE 0.0e0 END AS e, CASE WHEN hits < n AND hits >= greatest(1, floor(n / 2)) THEN score ELSE 0.0e0 END AS p, 0.0e0 AS s FROM tok_hits UNION ALL SELECT qid, id, 0.0e0, 0.0e0, score FROM tfidf_hits) GROUP BY qid, id),
+    # exact .4, partial .25, semantic .2, subset .1 and boost .05. A document holds every combination of the query's words among its hits, so its
+    # best subset has min(hits, 3) words if it has two or more; the boost is for codes with a digit that both texts have
+    return f"""WITH {hits(d)}, {token_hits(d)}, bst AS (SELECT qid, id, least(0.3e0, 0.1e0 * count(*)) AS b FROM tq JOIN ti USING (term) WHERE {d.matches('term', '[0-9]')} GROUP BY qid, id),
+x AS (SELECT qid, id, 0.4e0 * max(e) + 0.25e0 * max(p) + 0.2e0 * max(s) + 0.1e0 * max(u) + 0.05e0 * max(bo) AS score FROM (
+SELECT qid, id, CASE WHEN hits = n THEN 1.0e0 ELSE 0.0e0 END AS e, CASE WHEN hits < n AND hits >= greatest(1, floor(n / 2)) THEN score ELSE 0.0e0 END AS p, 0.0e0 AS s, CASE WHEN hits >= 2 THEN least(hits, 3) * 1.0e0 / n * 0.7e0 ELSE 0.0e0 END AS u, 0.0e0 AS bo FROM tok_hits
+UNION ALL SELECT qid, id, 0.0e0, 0.0e0, score, 0.0e0, 0.0e0 FROM tfidf_hits UNION ALL SELECT qid, id, 0.0e0, 0.0e0, 0.0e0, 0.0e0, b FROM bst) GROUP BY qid, id),
 r AS (SELECT qid, id, round(score, 6) AS score FROM x) {top("r", 10, "score > 0")}"""
 
 
@@ -228,13 +226,6 @@ def _(d):
 SELECT id, count(*) AS n_tokens, sum(CASE WHEN token_id IS NULL THEN 1 ELSE 0 END) AS n_unknown, round(sum(1.0e0 / (1.0e0 + coalesce(token_id, 1) / CAST(v AS DOUBLE))), 4) AS total_weight FROM (SELECT * FROM ({tokens(d)}) LEFT JOIN voc USING (term)) CROSS JOIN s GROUP BY id"""
 
 
-@plan("doc_embedding")
-def _(d):
-    # the mean vector of each label's members, a value a row
-    return f"""WITH e AS (SELECT label, pos, CAST({d.at("embedding", "pos")} AS DOUBLE) AS x FROM (SELECT label, embedding, {d.explode(d.range("1", "64"))} AS pos FROM embeddings))
-SELECT label, CAST(pos AS INT) AS pos, round(avg(x), 5) AS x FROM e GROUP BY label, pos"""
-
-
 @plan("ngram_importance")
 def _(d):
     return f"""WITH t AS (SELECT p_partkey AS id, {d.words("p_name")} AS ws FROM part), g AS (SELECT id, {d.explode("ws")} AS term FROM t UNION ALL SELECT id, {d.join("ws")} FROM t WHERE {d.size("ws")} = 2),

@@ -9,6 +9,11 @@ from .dialect import plan, quoted
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+"
 
 
+def between(p: str) -> str:
+    """A pattern between other signs than those of words; its groups come second, the signs first and last."""
+    return rf"(^|[^\p{{L}}\p{{N}}_]){p}([^\p{{L}}\p{{N}}_]|$)"
+
+
 def names(d) -> str:
     """(id, name): part's names, and the fixed names with negative ids."""
     rows = ", ".join(f"({-i}, {quoted(n)})" for i, n in enumerate(D.NAMES, 1))
@@ -74,9 +79,44 @@ def _(d):
     return f"SELECT id, {mapped(d, 'name', D.ABBREVIATIONS)} AS name FROM {names(d)}"
 
 
+def reverse_synonyms(extra: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
+    """synonym -> canonical form; of two that name a synonym the later wins. `extra` adds a caller's own."""
+    return {v: k for k, vs in (D.SYNONYMS | (extra or {})).items() for v in vs}
+
+
+def canonical(d, x: str, extra: dict[str, tuple[str, ...]] | None = None) -> str:
+    """Text x with synonyms as their canonical forms, a capital kept: phrases first, by regular expressions, then words, by a lookup."""
+    table = reverse_synonyms(extra)
+    for phrase in sorted((k for k in table if " " in k), key=lambda k: (-len(k), k)):
+        for form, by in ((phrase, table[phrase]), (phrase.capitalize(), table[phrase].capitalize())):
+            x = d.replace(x, between(f"({form})"), d.ref(1) + by + d.ref(3))
+    words = {k: v for k, v in table.items() if " " not in k}
+    low = " ".join(f"WHEN x = {quoted(k)} THEN {quoted(v)}" for k, v in words.items())
+    high = " ".join(f"WHEN x = {quoted(k.capitalize())} THEN {quoted(v.capitalize())}" for k, v in words.items())
+    return d.join(d.each(d.extract_all(x, PIECE), f"CASE {low} {high} ELSE x END"), "")
+
+
 @plan("synonyms")
 def _(d):
-    return f"SELECT id, {mapped(d, 'name', D.SYNONYMS)} AS name FROM {names(d)}"
+    return f"SELECT id, {canonical(d, 'name')} AS name FROM {names(d)}"
+
+
+@plan("term_unify")
+def _(d):
+    x = "name"
+    for by, variants in D.TERM_VARIANTS.items():
+        for v in variants:
+            if v != by:
+                x = d.replace(x, between(f"({v}|{v.capitalize()})"), d.ref(1) + by + d.ref(3))
+    return f"SELECT id, {x} AS name FROM {names(d)}"
+
+
+@plan("canonical_lookup")
+def _(d):
+    # the canonical form of each word that has one; with a synonym that the caller added
+    table = reverse_synonyms({"смартфон": ("телефон", "трубка")})
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in table.items() if " " not in k)
+    return f"SELECT id, word, form FROM (SELECT id, {d.explode(d.distinct(d.words('name')))} AS word FROM {names(d)}) JOIN {d.values(rows, 'synonym, form')} ON synonym = word"
 
 
 @plan("num_mask")
@@ -91,7 +131,7 @@ def _(d):
 
 @plan("preprocess")
 def _(d):
-    return f"SELECT id, {mapped(d, mapped(d, mapped(d, cleaned(d, 'name'), D.UNIT_NAMES), D.ABBREVIATIONS), D.SYNONYMS)} AS name FROM {names(d)}"
+    return f"SELECT id, {canonical(d, mapped(d, mapped(d, cleaned(d, 'name'), D.UNIT_NAMES), D.ABBREVIATIONS))} AS name FROM {names(d)}"
 
 
 @plan("tech_specs")
@@ -99,15 +139,23 @@ def _(d):
     return f"SELECT id, {d.join(d.extract_all('name', r'\(([^)]+)\)', 1), '; ')} AS bracketed, {d.join(d.extract_all('name', r'[0-9]+(?:[.,][0-9]+)?\s*[-–—]\s*[0-9]+(?:[.,][0-9]+)?'), '; ')} AS ranges FROM {names(d)}"
 
 
+#: A colour with a word that changes its shade before or after it, and a colour alone, between other signs.
+SHADED = rf"((?:{'|'.join(sorted(D.COLOUR_MODIFIERS, key=len, reverse=True))})[-\s](?:{'|'.join(sorted(D.COLOUR_WORDS, key=len, reverse=True))})|(?:{'|'.join(sorted(D.COLOUR_WORDS, key=len, reverse=True))})[-\s](?:{'|'.join(sorted(D.COLOUR_MODIFIERS, key=len, reverse=True))}))"
+PLAIN = rf"({'|'.join(sorted(D.COLOUR_WORDS, key=len, reverse=True))})"
+
+
 def colours(d, x: str) -> str:
-    return d.where(d.words(x), f"x IN ({', '.join(map(quoted, D.COLOUR_WORDS))})")
+    """The colour phrases of text x, shaded ones first: in lower case, a hyphen as a space."""
+    rest = d.replace(f"lower({x})", between(SHADED), d.ref(1) + " " + d.ref(3))
+    shaded = d.each(d.extract_all(f"lower({x})", between(SHADED), 2), "replace(x, '-', ' ')")
+    return d.concat(shaded, d.extract_all(rest, between(PLAIN), 2))
 
 
 @plan("colors")
 def _(d):
-    mask = " ".join([f"WHEN lower(x) IN ({', '.join(map(quoted, D.COLOUR_WORDS))}) THEN '<COLOR>'"])
-    text = d.join(d.each(d.extract_all("name", PIECE), f"CASE {mask} ELSE x END"), "")
-    return f"SELECT id, {text} AS name, {d.join(d.sort(d.distinct(colours(d, 'name'))), ',')} AS colors_found, {d.size(colours(d, 'name'))} AS colors_count FROM {names(d)}"
+    marked = d.replace(d.replace("lower(name)", between(SHADED), d.ref(1) + "<COLOR>" + d.ref(3)), between(PLAIN), d.ref(1) + "<COLOR>" + d.ref(3))
+    one = d.replace(marked, r"<COLOR>(\s*<COLOR>)+", "<COLOR>")
+    return f"SELECT id, trim({one}) AS name, {d.join(d.sort(d.distinct(colours(d, 'name'))), ',')} AS colors_found, {d.size(colours(d, 'name'))} AS colors_count, {d.size(colours(d, 'name'))} > 0 AS has_colors FROM {names(d)}"
 
 
 @plan("color_stats")
@@ -239,7 +287,9 @@ def _(d):
 
 @plan("brand_extract")
 def _(d):
-    return "SELECT p_partkey, CASE WHEN position(lower(p_brand) IN lower(p_name)) > 0 THEN p_brand END AS brand FROM part"
+    # the first known brand that the name holds, in the list's order
+    first = " ".join(f"WHEN {d.contains('lower(name)', quoted(b))} THEN {quoted(b)}" for b in D.KNOWN_BRANDS)
+    return f"SELECT id, CASE {first} END AS brand FROM {names(d)}"
 
 
 @plan("norm_fast")
@@ -261,7 +311,7 @@ def _(d):
 
 @plan("snake_case")
 def _(d):
-    return f"SELECT DISTINCT event_type, lower({d.replace('p_brand', r'([a-z0-9])([A-Z])', d.ref(1) + '_' + d.ref(2))}) AS snake FROM part CROSS JOIN (SELECT DISTINCT event_type FROM events)"
+    return f"SELECT p_type, lower({d.replace(d.replace('p_type', r'(.)([A-Z][a-z]+)', d.ref(1) + '_' + d.ref(2)), '([a-z0-9])([A-Z])', d.ref(1) + '_' + d.ref(2))}) AS snake FROM part GROUP BY p_type"
 
 
 def first_group(x: str, groups: dict[str, tuple[str, ...]], other: str, d) -> str:
@@ -275,7 +325,7 @@ def _(d):
 
 @plan("semantic_category")
 def _(d):
-    return f"SELECT id, {first_group('name', D.CATEGORY_KEYWORDS, 'other', d)} AS category FROM {names(d)}"
+    return f"SELECT id, {first_group('name', D.SEMANTIC_CLASSES, 'other', d)} AS category FROM {names(d)}"
 
 
 @plan("complexity")
@@ -284,28 +334,6 @@ def _(d):
     return f"SELECT id, round({s}, 6) AS score, CASE WHEN {s} >= 5 THEN 'high' WHEN {s} >= 2 THEN 'medium' ELSE 'low' END AS level FROM {names(d)}"
 
 
-def scores(d) -> str:
-    """(id, category, share): the share of each category's keywords among a name's words."""
-    parts = [f"SELECT id, {quoted(k)} AS category, round(CAST({d.size(d.where(d.distinct(d.words('name')), f'x IN ({", ".join(map(quoted, v))})'))} AS DOUBLE) / {len(v)}, 6) AS share FROM {names(d)}" for k, v in D.CATEGORY_KEYWORDS.items()]
-    return " UNION ALL ".join(parts)
-
-
-@plan("classify")
-def _(d):
-    return f"""WITH s AS ({scores(d)}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, category) AS r FROM s)
-SELECT id, CASE WHEN share >= 0.01e0 THEN category ELSE {quoted(D.DEFAULT_CATEGORY)} END AS category, round(0.7e0 * share, 6) AS confidence FROM r WHERE r = 1"""
-
-
-@plan("classify_enhanced")
-def _(d):
-    return f"WITH s AS ({scores(d)}) SELECT id, category, share, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, category) AS rank FROM s WHERE share > 0) WHERE rank <= 3"
-
-
-@plan("category_stats")
-def _(d):
-    return f"WITH s AS ({scores(d)}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, category) AS r FROM s) SELECT CASE WHEN share > 0 THEN category ELSE {quoted(D.DEFAULT_CATEGORY)} END AS category, count(*) AS n FROM r WHERE r = 1 GROUP BY 1"
-
-
 @plan("rule_mining")
 def _(d):
     return f"""WITH w AS (SELECT p_type, {d.explode(d.words("p_name"))} AS word FROM part), c AS (SELECT p_type, word, count(*) AS n FROM w GROUP BY p_type, word)
@@ -314,8 +342,9 @@ SELECT p_type, word, n FROM (SELECT *, row_number() OVER (PARTITION BY p_type OR
 
 @plan("category_mapping")
 def _(d):
-    return f"""WITH s AS ({scores(d)}), t AS (SELECT p_type, category, sum(share) AS hits, count(*) AS n FROM s JOIN part ON p_partkey = id GROUP BY p_type, category)
-SELECT p_type, category, round(hits / n, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY hits DESC, category) AS r FROM t) WHERE r = 1"""
+    hits = " UNION ALL ".join(f"SELECT p_type, {quoted(k)} AS category, CASE WHEN {d.matches('lower(p_name)', '|'.join(v))} THEN 1 ELSE 0 END AS hit FROM part" for k, v in D.CATEGORY_KEYWORDS.items())
+    return f"""WITH s AS ({hits}), t AS (SELECT p_type, category, sum(hit) AS hits, count(*) AS n FROM s GROUP BY p_type, category)
+SELECT p_type, category, round(CAST(hits AS DOUBLE) / n, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY hits DESC, category) AS r FROM t) WHERE r = 1"""
 
 
 @plan("text_profile")
