@@ -210,3 +210,29 @@ def stream_subscriptions(spark, sf_dir):
 @query("token_bucket")
 def token_bucket(spark, sf_dir):
     return stream.token_bucket(table(spark, sf_dir, "events"), "user_id", 3, 1 / 3600)
+
+
+@query("stream_events", "SELECT event_id, event_type, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def stream_events(spark, sf_dir):
+    return stream.events_seen(spark, sf_dir)
+
+
+@query("stream_search")
+def stream_search(spark, sf_dir):
+    """Benchmark texts as a stream of requests against the stored index of documents."""
+    from .indexes import built
+
+    t, _ = built(spark, sf_dir)
+    source = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    requests = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/benchmark.parque[t]").select(F.col("item_id").alias("qid"), "text")
+    return stream.answered(spark, requests, t)
+
+
+@query("stream_silences")
+def stream_silences(spark, sf_dir):
+    return stream.silences(spark, sf_dir)
+
+
+@query("request_batches", "SELECT user_id AS key, CAST(floor(epoch_us(ts) / 100000) AS BIGINT) AS batch, count(*) AS n FROM events GROUP BY 1, 2")
+def request_batches(spark, sf_dir):
+    return stream.batched(table(spark, sf_dir, "events"), "user_id")

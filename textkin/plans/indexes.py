@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import extract, index, units
 from ..sources.shared import shared_dir
 from .catalog import query
-from .scores import named
+from .scores import items, named
 
 
 def built(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -20,6 +20,13 @@ def built(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
     return index.build(docs, "doc_id", "text", f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "lang"), q
 
 
+def built_names(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The index of the catalog's distinct names, and the queries: all of them."""
+    names = items(spark, sf_dir)
+    t = index.build(names, "id", "name", f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "category")
+    return t, t["items"].select(F.col("id").alias("qid"), "text", "category")
+
+
 W = r"list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'))"
 SETS = f"d AS (SELECT doc_id AS id, {W} AS w FROM documents), q AS (SELECT item_id AS qid, {W} AS w FROM benchmark)"
 
@@ -53,22 +60,22 @@ def fts_search(spark, sf_dir):
 
 @query("hybrid_search")
 def hybrid_search(spark, sf_dir):
-    return index.search(*built(spark, sf_dir), method="hybrid")
+    return index.search(*built_names(spark, sf_dir), method="hybrid")
 
 
 @query("semantic_search")
 def semantic_search(spark, sf_dir):
-    return index.search(*built(spark, sf_dir), method="semantic", least=0.2)
+    return index.search(*built_names(spark, sf_dir), method="semantic", category_col="category")
 
 
 @query("search_fallback")
 def search_fallback(spark, sf_dir):
-    return index.search(*built(spark, sf_dir), method="fallback")
+    return index.search(*built_names(spark, sf_dir), method="fallback")
 
 
 @query("search_advanced")
 def search_advanced(spark, sf_dir):
-    return index.search(*built(spark, sf_dir), method="advanced")
+    return index.search(*built_names(spark, sf_dir), method="advanced")
 
 
 @query("ivf_knn")

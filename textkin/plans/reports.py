@@ -126,7 +126,8 @@ def _(d):
 
 @plan("category_filter")
 def _(d):
-    return f"WITH {results(d)} SELECT qid, id, score, rank FROM r WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
+    # candidates are filtered before the best are cut
+    return f"WITH {hits(d)}, c AS (SELECT qid, id, score FROM tfidf_hits JOIN documents ON doc_id = id WHERE lang = 'en') {top('c', 20, 'score > 0')}"
 
 
 @plan("adaptive_threshold")
@@ -161,9 +162,12 @@ def hourly() -> str:
 
 @plan("alerts")
 def _(d):
-    # raised when the rule begins to hold, resolved when it ceases
-    return f"""WITH h AS ({hourly()}), a AS (SELECT event_type, hour, n > 4 AS active, lag(n > 4, 1, FALSE) OVER (PARTITION BY event_type ORDER BY hour) AS before FROM h)
-SELECT event_type, hour, CASE WHEN active THEN 'raised' ELSE 'resolved' END AS change FROM a WHERE active <> before"""
+    # rules: (metric, condition, threshold, level); an alert is raised when its rule begins to hold, resolved when it ceases
+    rules = "('n', 'gt', 4.0, 'warning'), ('n', 'eq', 3.0, 'info'), ('mean', 'gt', 60.0, 'error'), ('mean', 'lt', 40.0, 'info')"
+    return f"""WITH h AS ({hourly()}), m AS (SELECT event_type, hour, 'n' AS metric, CAST(n AS DOUBLE) AS value FROM h UNION ALL SELECT event_type, hour, 'mean', mean FROM h),
+a AS (SELECT event_type, hour, m.metric, cond, threshold, level, coalesce(CASE cond WHEN 'gt' THEN value > threshold WHEN 'lt' THEN value < threshold ELSE abs(value - threshold) < 0.001e0 END, FALSE) AS active FROM m JOIN {d.values(rows=rules, columns="rule_metric, cond, threshold, level")} ON rule_metric = m.metric),
+b AS (SELECT *, lag(active, 1, FALSE) OVER (PARTITION BY event_type, metric, cond ORDER BY hour) AS before FROM a)
+SELECT event_type, hour, metric, cond, level, CASE WHEN active THEN 'raised' ELSE 'resolved' END AS change FROM b WHERE active <> before"""
 
 
 @plan("health")
@@ -242,7 +246,32 @@ def _(d):
 
 @plan("evaluation")
 def _(d):
-    return f"WITH {results(d)} SELECT qid, round(avg(CASE WHEN quality = 1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS precision_at_k FROM r JOIN labels ON doc_id = id GROUP BY qid"
+    # of all hits; hits without a label count as not relevant, and how many have one is told
+    return f"WITH {results(d)} SELECT qid, count(*) AS n, count(quality) AS labelled, round(avg(CASE WHEN quality = 1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS precision_at_k FROM r LEFT JOIN labels ON doc_id = id GROUP BY qid"
+
+
+@plan("export_stats")
+def _(d):
+    return f"WITH {results(d)}, q AS (SELECT qid, count(*) AS n, avg(score) AS mean FROM r GROUP BY qid) SELECT count(*) AS queries, sum(n) AS results, round(avg(n), 5) AS per_query, round(avg(mean), 5) AS mean_score FROM q"
+
+
+@plan("search_db_stats")
+def _(d):
+    return "SELECT count(*) AS n_items, count(DISTINCT p_name) AS n_names, count(DISTINCT p_brand) AS n_brands, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_with_rows FROM part"
+
+
+@plan("processing_summary")
+def _(d):
+    w = d.size(d.words("text"))
+    return f"SELECT lang, count(*) AS n, round(avg(length(text)), 5) AS mean_chars, round(avg({w}), 5) AS mean_words, round(avg(length({d.join(d.words('text'))}) / greatest(length(text), 1.0e0)), 5) AS kept_share FROM documents GROUP BY lang"
+
+
+@plan("integration_report")
+def _(d):
+    # a score of the catalog: names that stand once, categories that are filled, names of one category alone; and what to do about each
+    return """WITH n AS (SELECT p_name, count(*) AS n, count(DISTINCT p_type) AS types FROM part GROUP BY p_name), s AS (SELECT round(100.0e0 * avg(CASE WHEN n = 1 THEN 1.0e0 ELSE 0.0e0 END), 4) AS unique_names, round(100.0e0 * avg(CASE WHEN types = 1 THEN 1.0e0 ELSE 0.0e0 END), 4) AS one_category FROM n),
+f AS (SELECT round(100.0e0 * avg(CASE WHEN p_type IS NOT NULL THEN 1.0e0 ELSE 0.0e0 END), 4) AS filled FROM part)
+SELECT unique_names, one_category, filled, round((unique_names + one_category + filled) / 3, 4) AS score, CASE WHEN unique_names < 90 THEN 'merge duplicates' ELSE 'none' END AS about_names, CASE WHEN one_category < 90 THEN 'settle categories' ELSE 'none' END AS about_categories FROM s CROSS JOIN f"""
 
 
 @plan("conversation_turns")
