@@ -415,3 +415,77 @@ def test_risk_learns_from_positives_and_unlabelled():
     model = quality_model.train(good[:200], np.concatenate([good[200:], bad]), 1 / 3)
     assert (model.score(good[200:]) >= 0.5).mean() > 0.85 and (model.score(bad) < 0.5).mean() > 0.9
     assert pd.notna(quality_model.share_like(good[:200], np.concatenate([good[200:], bad])))
+
+
+def test_header_names_have_no_case(spark):
+    shape = "record_id long, url string, ts long, record_type string, etag string, last_modified long, headers map<string,string>, payload string"
+    rows = [(1, "a.com/x", 1, "response", "e", None, {"Date": "old", "Server": "s", "Content-Length": "5"}, "p"), (2, "a.com/x", 2, "revisit", "e", None, {"date": "new", "Server": "t"}, None), (3, "a.com/x", 3, "revisit", "e", None, None, None)]
+    got = {r.record_id: r.merged_headers for r in revisits.resolve(spark.createDataFrame(rows, shape)).collect()}
+    assert got == {2: {"date": "new", "Server": "s", "Content-Length": "5"}, 3: {"Date": "old", "Server": "s", "Content-Length": "5"}}
+
+
+def test_shards_of_narrow_keys_are_many_ranges(spark):
+    df = spark.range(200_000).selectExpr("id AS k", "1L AS size")
+    out = sharding.histogram_shards(df, 4, "k", "size")
+    assert out.groupBy("shard").count().count() == 4
+    check_shards(out.collect(), 4)
+
+
+def test_shards_equal_a_plain_sort(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.getrandbits(62), rng.randint(1, 500)) for i in range(3000)]
+    got = {r.id: (r.shard, r.slot) for r in sharding.histogram_shards(spark.createDataFrame(rows, "id long, k long, size long"), 7, "k", "size", 1e-9).collect()}
+    total, below, want = sum(r[2] for r in rows), 0, Counter()
+    for i, _, size in sorted(rows, key=lambda r: r[1]):
+        assert abs(got[i][0] - min(6, below * 7 // total)) <= 1  # a row that crosses a target may lie on either side
+        assert got[i][1] == want[got[i][0]]
+        want[got[i][0]] += 1
+        below += size
+
+
+def test_mix_keeps_other_columns_of_its_outputs_names(spark):
+    df = spark.createDataFrame([(i, "d", "en", "s", 10, f"e{i}") for i in range(20)] + [(None, "d", "en", "s", 10, f"n{i}") for i in range(20)], "doc_id long, domain string, lang string, source string, n_tokens long, epoch string")
+    out = mixing.mix(df, lambda n: 1.0, 0.5, 1, out=("_e", "_b", "_t"))
+    rows = out.collect()
+    assert len(rows) == 20 and {r.epoch[0] for r in rows} <= {"e", "n"} and sorted(r._t for r in rows) == list(range(0, 200, 10))
+    assert sorted(map(str, rows)) == sorted(map(str, out.collect()))
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.6, 0.9):
+        good = rng.normal(1.5, 1, (1500, 4)).astype(np.float32)
+        web = np.concatenate([rng.normal(1.5, 1, (int(1000 * share), 4)), rng.normal(-1.5, 1, (1000 - int(1000 * share), 4))]).astype(np.float32)
+        assert abs(quality_model.share_like(good, web[rng.permutation(1000)]) - share) < 0.07
+
+
+def test_samples_are_bounded_under_repeated_ids(spark):
+    df = spark.range(50_000).selectExpr("CAST(1 AS BIGINT) AS doc_id", "'same text' AS text", "1 AS quality")
+    assert quality_model.lowest(df.select("doc_id", "text"), ["doc_id", "text"], 100, 50_000).count() <= 1
+    assert language.fit(df.withColumn("lang", F.lit("en"))).langs in (["en"], [])
+
+
+def test_sampling_equals_a_plain_version():
+    from xxhash import xxh64_intdigest
+
+    def mix64(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    text = "a b b c c c d d d d e f g a A"
+    words = Counter(text.lower().split())
+    sampler = weighted_sampling.Sampler()
+    got = sampler.signature(text)
+    for draw in range(0, 64, 7):
+        best = None
+        for w, n in words.items():
+            h = xxh64_intdigest(w.encode(), 7)
+            bits = [mix64(h ^ mix64((1 + kind * 64 + draw) * 0x9E3779B97F4A7C15 % 2**64 + 42)) for kind in range(3)]
+            high, low = ([((b >> 32) + 0.5) / 2**32 for b in bits], [((b & 0xFFFFFFFF) + 0.5) / 2**32 for b in bits])
+            r, c, beta = -np.log(high[0]) - np.log(low[0]), -np.log(high[1]) - np.log(low[1]), high[2]
+            t = int(np.floor(np.log(n) / r + beta))
+            a = np.log(c) - r * (t - beta + 1)
+            if best is None or a < best[0]:
+                best = (a, mix64(h ^ (t % 2**64) * 0x9E3779B97F4A7C15 % 2**64) & 0xFFFF)
+        assert best[1] == got[draw]

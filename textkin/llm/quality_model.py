@@ -4,9 +4,8 @@ A linear model on bounded features of a whole text: relative frequencies of pair
 (letters by case, digits, other letters, white space, each ASCII sign by itself) and a few shape figures (length, share of
 repeated words and lines, word length). It is trained on trusted positives and unlabelled texts by the non-negative
 unbiased risk: prior E_p[l(g, 1)] + max(0, E_u[l(g, -1)] - prior E_p[l(g, -1)]) with the logistic loss; where the second
-part falls under 0, its gradient is climbed instead. The class prior is the share of positives among trusted labels,
-or, without negative ones, the share of unlabelled texts that a first positive-against-unlabelled model can't tell from
-positives. Fitted on at most about FIT_TEXTS positives and as many unlabelled texts, those whose ids hash lowest.
+part falls under 0, its gradient is climbed instead. The class prior is estimated from positives and unlabelled texts alone (share_like);
+negative labels are never read. Fitted on at most about FIT_TEXTS positives and as many unlabelled texts, those whose ids hash lowest.
 
 Null and empty texts get a score too; texts are read whole, and equal ones score alike. An empty table gives an empty table. Ids
 that repeat, or are null, are drawn by their texts too, and equal (id, text) rows enter the fit once, so its bound holds. Without a positive label every score is the prior 0.5. Labels that are null or
@@ -96,10 +95,23 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
 
 
 def share_like(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """An estimate of the class prior without negatives: the mean chance of an unlabelled text to be drawn as a positive, over that of a positive itself."""
-    first = train(positive, unlabelled, 0.5, STEPS // 3)
-    held = slice(None, None, 5)
-    return float(np.clip(np.median(first.score(unlabelled[held])) / max(1e-6, np.median(first.score(positive[held]))), 0.05, 0.95))
+    """An estimate of the class prior without negatives, by a positive-against-unlabelled model and rows that it wasn't trained on.
+
+    Under a score t lie shares F_u of the unlabelled and F_p of the positives; as F_u = prior F_p + (1 - prior) F_n and F_n is at most 1,
+    (1 - F_u) / (1 - F_p) is never under the prior, and reaches it where t parts the classes. So the least such ratio is taken, over
+    the scores between the positives' quantiles .005 and .5, where there are rows enough."""
+    fold = lambda x, k: (x[np.arange(len(x)) % 2 != k], x[np.arange(len(x)) % 2 == k])
+    p, u = [], []
+    for k in range(2):
+        (p_in, p_out), (u_in, u_out) = fold(positive, k), fold(unlabelled, k)
+        if not (len(p_in) and len(p_out) and len(u_in) and len(u_out)):
+            return 0.5
+        first = train(p_in, u_in, 0.5, STEPS // 3)
+        p.append(first.score(p_out))
+        u.append(first.score(u_out))
+    p, u = np.concatenate(p), np.concatenate(u)
+    ratios = [(u > t).mean() / max(1e-9, (p > t).mean()) for t in np.quantile(p, np.linspace(0.005, 0.5, 100))]
+    return float(np.clip(min(ratios), 0.05, 0.95))
 
 
 def lowest(df: DataFrame, by: list[str], most: int, n: int) -> DataFrame:
@@ -111,11 +123,11 @@ def lowest(df: DataFrame, by: list[str], most: int, n: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_texts: int = FIT_TEXTS) -> Model | None:
     """docs: the unlabelled web text; labels: (id, label). Neither holds held-out rows."""
-    trusted = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("label"))
-    tally = {r[0]: r[1] for r in trusted.groupBy("label").count().collect()}
-    if not tally.get(1):
+    trusted = labels.where(F.col(label_col) == 1).select(id_col)
+    n_trusted = trusted.count()
+    if not n_trusted:
         return None
-    picked = lowest(trusted.where("label = 1").select(id_col), [id_col], fit_texts, tally[1])
+    picked = lowest(trusted, [id_col], fit_texts, n_trusted)
     picked_ids = F.broadcast(picked)  # at most about fit_texts ids
 
     def run(batches):
@@ -132,8 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     is_p = rows["positive"].to_numpy(bool)
     if not is_p.any() or is_p.all():
         return None
-    prior = tally[1] / (tally[1] + tally[0]) if tally.get(0) else share_like(x[is_p], x[~is_p])
-    return train(x[is_p], x[~is_p], float(np.clip(prior, 0.02, 0.98)))
+    return train(x[is_p], x[~is_p], share_like(x[is_p], x[~is_p]))
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
