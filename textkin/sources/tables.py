@@ -11,7 +11,7 @@ NAME_HINTS = ("наименование", "название", "name", "title", "
 
 def sniffed(spark: SparkSession, path: str, lines: int = 50) -> tuple[str, str]:
     """(encoding, separator) of a text file by its first lines: UTF-8 if they are that, else Windows' Cyrillic; ';' if there are more of it than ','."""
-    raw = "\n".join(r[0] for r in spark.read.option("encoding", "ISO-8859-1").text(path).limit(lines).collect()).encode("latin-1")
+    raw = b"\n".join(bytes(r[0]) for r in spark.read.text(path).limit(lines).select(F.col("value").cast("binary")).collect())
     try:
         raw.decode("utf-8")
         encoding = "UTF-8"
