@@ -129,6 +129,6 @@ def tree_lines(hierarchies: DataFrame, names: DataFrame) -> DataFrame:
     roots = hierarchies.select("cluster", "root").distinct().select("cluster", F.lit(0).alias("rank"), F.col("root").alias("id"), F.lit("root").alias("relation"), F.lit(None).cast("double").alias("score"))
     rows = roots.union(hierarchies.select("cluster", "rank", F.col("child").alias("id"), "relation", "score")).join(names, "id")
     indent = F.when(F.col("rank") == 0, "").otherwise("    ")
-    score = F.when(F.col("score").isNull(), "").otherwise(F.concat(F.lit(" ("), F.format_string("%.4f", F.col("score")), F.lit(")")))
+    score = F.when(F.col("score").isNull(), "").otherwise(F.concat(F.lit(" ("), F.format_string("%.4f", F.round(F.col("score") + 1e-9, 4)), F.lit(")")))
     line = F.concat(indent, F.lit("- "), F.col("id").cast("string"), F.lit(" | "), F.col("name"), F.lit(" ["), F.col("relation"), F.lit("]"), score)
     return rows.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("tree"))

@@ -92,7 +92,7 @@ def tree_stats(spark, sf_dir):
 
 @query(
     "tree_text",
-    f"""WITH RECURSIVE {CLUSTERS}, li AS (SELECT cluster, 0 AS rank, '- ' || root || ' | ' || lang || ' [root]' AS line FROM rp JOIN documents ON doc_id = root UNION ALL SELECT cluster, rank, '    - ' || child || ' | ' || lang || ' [' || {RELATION} || '] (' || printf('%.4f', score) || ')' FROM hc JOIN documents ON doc_id = child)
+    f"""WITH RECURSIVE {CLUSTERS}, li AS (SELECT cluster, 0 AS rank, '- ' || root || ' | ' || lang || ' [root]' AS line FROM rp JOIN documents ON doc_id = root UNION ALL SELECT cluster, rank, '    - ' || child || ' | ' || lang || ' [' || {RELATION} || '] (' || printf('%.4f', round(score + 1e-9, 4)) || ')' FROM hc JOIN documents ON doc_id = child)
 SELECT cluster, string_agg(line, chr(10) ORDER BY rank) AS tree FROM li WHERE cluster IN (SELECT cluster FROM hc) GROUP BY cluster""",
 )
 def tree_text(spark, sf_dir):
