@@ -62,7 +62,7 @@ def params(d) -> str:
 def deduped(d) -> str:
     """CTE q: of parameters equal in type, value and unit the most confident one, then of those equal in name and type."""
     return f"""{params(d)}, q1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, ptype, value, unit ORDER BY confidence DESC, ord) AS r FROM p) WHERE r = 1),
-q AS (SELECT id, ord, pname, ptype, value, unit, number, confidence FROM (SELECT id, ord, pname, ptype, value, unit, number, confidence, row_number() OVER (PARTITION BY id, pname, ptype ORDER BY confidence DESC, ord, value) AS r FROM q1) WHERE r = 1)"""
+q AS (SELECT id, ord, pname, ptype, value, unit, number, confidence FROM (SELECT id, ord, pname, ptype, value, unit, number, confidence, row_number() OVER (PARTITION BY id, pname, ptype ORDER BY confidence DESC, ord, value, unit DESC) AS r FROM q1) WHERE r = 1)"""
 
 
 def realistic() -> str:
