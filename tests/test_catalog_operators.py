@@ -71,7 +71,7 @@ def test_duplicate_and_analog_scores(spark):
     parts = {"semantic": 0.5, "fuzzy": sum(k) / 4, "parameter": 0.0, "brand": 0.0, "category": 0.7, "functional": 1.0}
     w = {"semantic": 0.36, "fuzzy": 0.32, "parameter": 0.45, "brand": 0.12, "category": 0.165, "functional": 0.15}
     assert r.similarity == pytest.approx(sum(parts[c] * w[c] for c in w) / sum(w.values()))
-    assert r.confidence == pytest.approx((0.2 * 0.5 + 0.2 * sum(k) / 4 + 0.1 * 0.7 + 0.1 * 1.0)
+    assert r.confidence == pytest.approx((0.2 * 0.5 + 0.2 * sum(k) / 4 + 0.1 * 0.7 + 0.1 * 1.0))
 
 
 def test_hierarchy_levels_break_at_the_head(spark):

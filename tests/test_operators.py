@@ -129,7 +129,7 @@ def test_parameters_of_known_names(spark):
     assert got["Автомат 16 А 220 В", "current_direct"] == ("16", "а")
     # a value of one sign counts as a false match
     assert ("Насос давление 6 бар 1.5 кВт", "pressure") not in got and got["Насос давление 6 бар 1.5 кВт", "power_kw"] == ("1.5", "квт")
-    assert got["Бак 25кг30л", "weight_volume_combined"] == ("25", "кг") and got["Бак 25кг30л", "volume_from_combined"] == ("30", "л")
+    assert got["Бак 25кг30л", "weight_volume_combined"] == ("25", "кг") and got["Бак 25кг30л", "volume_l"] == ("30", "л")
     assert got["Аккумулятор 2000 мач (2000mah)", "battery_capacity_mah"] == ("2000", "мач")
     assert got["Труба диаметр 50 мм длина 3 м", "diameter"] == ("50", "мм")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,22 @@ def sniffed(spark: SparkSession, path: str, lines: int = 50) -> tuple[str, str]:
     return encoding, ";" if raw.count(b";") > raw.count(b",") else ","
 
 
+def cyrillic_csv(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """A CSV file in Windows' Cyrillic, which Spark's reader doesn't decode: lines are decoded batch by batch, then parsed. A field may not hold a line break."""
+    import csv
+
+    @F.pandas_udf("string")
+    def decoded(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda b: None if b is None else bytes(b).decode("cp1251", "replace").rstrip("\r"))
+
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"))
+    first = bytes(raw.first()[0]).decode("cp1251", "replace").rstrip("\r")
+    names = next(csv.reader([first], delimiter=separator))
+    shape = ", ".join(f"`{n}` string" for n in names)
+    lines = raw.select(decoded("raw").alias("line")).where((F.col("line") != first) & (F.length("line") > 0))
+    return lines.select(F.from_csv("line", shape, {"sep": separator}).alias("r")).select("r.*")
+
+
 def load_catalog(spark: SparkSession, source, separator: str | None = None, encoding: str | None = None, schema: str | None = None) -> DataFrame:
     """A frame as it is; a list of dicts; or a path, by its suffix: csv (what isn't given is sniffed), json, parquet, xlsx. A path without a file
     is an empty frame of the schema, if one is given."""
@@ -39,6 +56,8 @@ def load_catalog(spark: SparkSession, source, separator: str | None = None, enco
         if separator is None or encoding is None:
             found = sniffed(spark, source)
             encoding, separator = encoding or found[0], separator or found[1]
+        if encoding.lower() in ("windows-1251", "cp1251"):
+            return cyrillic_csv(spark, source, separator)
         return spark.read.csv(source, header=True, sep=separator, encoding=encoding, mode="PERMISSIVE")
     if kind in ("xlsx", "xlsm"):
         from . import workbook
