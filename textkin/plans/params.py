@@ -10,7 +10,7 @@ from .dialect import plan, quoted
 from .text import names
 
 
-#: Signs that a pattern reads beside its match, where the reference only looks.
+#: Signs that a pattern reads beside its match; RE2 has no look-arounds.
 EDGES = r"^[\s,]+|[^\p{L}\p{N}_)]+$"
 
 
