@@ -163,3 +163,20 @@ def test_every_noise_point_gets_members_of_near_clusters(spark):
             best = sorted((-(unit[i] @ unit[j]), j) for j, _, c, n in points if not n and c in near)[:5]
             want |= {(i, r): j for r, (_, j) in enumerate(best, 1)}
     assert got == want and {i for i, _ in got} == set(range(100, 110))
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6])
+def test_class_pairs_in_small_pieces(spark, monkeypatch, least):
+    """All pairs of classes, whatever a task holds at a time; copies don't come out, sets of very different sizes meet."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.choice((1, 3, 30, 90, 300)))] for _ in range(40)]
+    texts = [" ".join(t) for t in base] + [" ".join(t[: int(len(t) * rng.uniform(0.5, 1))] + ["x", "y"][: rng.randint(0, 2)]) for t in base * 2] + [" ".join(reversed(t)) for t in base[:20]]
+    for name, value in (("DEALT", 7), ("HELD", 50), ("LOOKED", 11), ("MET", 5), ("COMPARED", 3), ("CHECKED", 9)):
+        monkeypatch.setattr(pairs, name, value)
+    known = pairs.keyed(sets_of(spark, texts))
+    got = [(r.a, r.b, round(r.score, 9)) for r in pairs.class_pairs(known, pairs.class_names(known), least).collect()]
+    terms = {}
+    for i, t in enumerate(texts):
+        terms.setdefault(frozenset(t.split()), i)
+    alike = [(a, b, len(x & y) / len(x | y)) for (x, a), (y, b) in itertools.combinations(terms.items(), 2)]
+    assert sorted(got) == sorted((min(a, b), max(a, b), round(s, 9)) for a, b, s in alike if s >= least - 1e-12)
