@@ -180,3 +180,16 @@ def test_class_pairs_in_small_pieces(spark, monkeypatch, least):
         terms.setdefault(frozenset(t.split()), i)
     alike = [(a, b, len(x & y) / len(x | y)) for (x, a), (y, b) in itertools.combinations(terms.items(), 2)]
     assert sorted(got) == sorted((min(a, b), max(a, b), round(s, 9)) for a, b, s in alike if s >= least - 1e-12)
+
+
+@pytest.mark.parametrize("least, n", [(0.8, 3), (0.9, 4), (0.97, 2), (0.9, 1)])
+def test_density_labels_equal_dbscan_of_edges(spark, monkeypatch, least, n):
+    """Labels without an edge table, in small pieces, equal those from all edges: several clusters, border points, noise, a missing vector."""
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(5)]
+    rows = [(i, [c + rng.gauss(0, 0.3) for c in centres[i % 5]]) for i in range(90)] + [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90, 120)] + [(120, None), (121, [0.0] * 4)]
+    items = spark.createDataFrame(rows, "id long, v array<float>")
+    monkeypatch.setattr(graph, "BLOCK", 9)
+    monkeypatch.setattr(graph, "PIECE", 20)
+    want = graph.dbscan(items, "id", graph.near_vectors(items, "id", "v", least), n)
+    assert sorted(map(tuple, graph.density_labels(items, "id", "v", least, n).collect())) == [(i, -1, True) if v is None else r for r, (i, v) in zip(sorted(map(tuple, want.collect())), rows, strict=True)]
