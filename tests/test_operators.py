@@ -207,3 +207,47 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     for k in (4, 99):
         want = {(q, i, r) for q, a in known if q % 3 == 1 for r, (_, i) in enumerate(sorted((-round(cosine(a, b), 6), i) for i, b in known if i != q)[:k], 1)}
         assert {(r.qid, r.id, r["rank"]) for r in graph.nearest(df, df.where("id % 3 = 1"), k).collect()} == want
+
+
+def test_cluster_search_equals_brute_force(spark, monkeypatch, tmp_path):
+    """Every twentieth vector's analogs among all, in small pieces, from labels and cosines of all pairs; clusters, noise, copies, a missing vector."""
+    import numpy as np
+
+    from textkin.plans import catalog
+
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 6))
+    vectors = [*(centres[i % 6] + 0.3 * rng.normal(size=6) for i in range(150)), *rng.normal(size=(60, 6)), *[centres[0]] * 12]
+    rows = [(i, [*map(float, v), 0.0], 0) for i, v in enumerate(vectors)] + [(240, None, 0), (260, [0.0] * 7, 0)]
+    rows += [(i, [0.0] * 5 + [x, 1.0], 0) for i, x in ((280, 0.0), (281, 0.1))]  # a pair of its own: noise with a neighbour
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(graph, "BLOCK", 9)
+    monkeypatch.setattr(graph, "PIECE", 60)
+    least, most = 0.9, 10
+    edges = {(r.a, r.b): r.cosine for r in graph.near_vectors(df, "vec_id", "embedding", least).collect()}
+    edges |= {(b, a): c for (a, b), c in edges.items()}
+    v = df.selectExpr("vec_id AS id", "embedding AS v")
+    with monkeypatch.context() as m:
+        m.setattr(graph, "PIECE", 4)
+        near = {(r.qid, r.id): round(r.score, 9) for r in graph.neighbours(v, v.where("id % 20 = 0"), least).collect()}
+    assert near == {(a, b): pytest.approx(c, abs=1e-6) for (a, b), c in edges.items() if a % 20 == 0}
+    labels = graph.dbscan(df, "vec_id", spark.createDataFrame([(a, b) for a, b in edges if a < b], "a long, b long"), 3)
+    given = {}
+    for r in graph.noise_analogs(df.selectExpr("vec_id AS id", "embedding AS e"), labels).collect():
+        given.setdefault(r.id, {})[r.other] = r.score
+    of, want = {r.id: (r.label, r.is_noise) for r in labels.collect()}, set()
+    for q in range(0, 300, 20):
+        if q not in of:
+            continue
+        near = {b: c for (a, b), c in edges.items() if a == q}
+        own = {b: c for b, c in near.items() if not of[q][1] and of[b][0] == of[q][0]}
+        set_by = {b: c for b, c in given.get(q, {}).items() if c >= least}
+        rest = sorted((-round(c, 6), b) for b, c in near.items() if b not in own and b not in set_by)[: max(0, most - len(own) - len(set_by))]
+        want |= {(q, b, round(c, 5), "cluster") for b, c in own.items()} | {(q, b, round(c, 5), "assigned") for b, c in set_by.items()} | {(q, b, round(-c, 5), "global") for c, b in rest}
+    got = catalog.queries()["cluster_search"](spark, str(tmp_path), least, most).collect()
+    assert sorted((r.id, r.other, r.origin) for r in got) == sorted((q, b, o) for q, b, _, o in want) and {o for *_, o in want} >= {"cluster", "global"}
+    score = {(q, b): s for q, b, s, _ in want}
+    assert all(abs(r.score - score[r.id, r.other]) < 2e-5 for r in got)
+    for q in {r.id for r in got}:
+        assert [r.other for r in sorted((r for r in got if r.id == q), key=lambda r: r["rank"])] == [r.other for r in sorted((r for r in got if r.id == q), key=lambda r: (-r.score, r.other))]
