@@ -256,3 +256,28 @@ def test_stream_answers(spark, tmp_path):
     spark.createDataFrame([(1, "bolt"), (2, " "), (3, "zzz")], "qid long, text string").write.parquet(str(tmp_path / "in"))
     got = events.answered(spark, spark.readStream.schema("qid long, text string").parquet(str(tmp_path / "in")), t).collect()
     assert sorted((r.qid, r.kind, r.id) for r in got if r.id) == [(1, "RESULT", 1)] and {r.qid: r.kind for r in got if not r.id} == {1: "UPDATE", 2: "ERROR", 3: "UPDATE"}
+
+
+def test_minhash_pairs_in_small_pieces(spark, monkeypatch, tmp_path):
+    """Near all pairs down to the threshold, with their true scores between classes of equal words; sets not asked for meet only those that are."""
+    from textkin.operators import minhash
+    from textkin.plans import catalog
+
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(rng.choice((8, 40, 120)))] for _ in range(120)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[: int(len(b) * 0.78)] + [f"n{rng.randrange(9999)}" for _ in range(int(len(b) * 0.21))]) for b in base * 3] + [" ".join(reversed(b)) for b in base[:20]] + [None, "", "."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, value in (("DEALT", 50), ("LOOKED", 1100), ("MET", 500), ("COMPARED", 300), ("CHECKED", 90)):
+        monkeypatch.setattr(pairs, name, value)
+    monkeypatch.setattr(minhash, "SIGNED", 33)
+    monkeypatch.setattr(minhash, "HELD", 900)
+    terms = {}
+    for i, t in enumerate(texts):
+        if w := frozenset((t or "").replace(".", "").split()):
+            terms.setdefault(w, i)
+    want = {(a, b): len(x & y) / len(x | y) for (x, a), (y, b) in itertools.combinations(terms.items(), 2) if len(x & y) >= 0.6 * len(x | y) - 1e-12}
+    got = {(r.a, r.b): r.score for r in catalog.queries()["minhash_lsh"](spark, str(tmp_path)).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.999 * len(want) and len(want) > 300 and all(got[k] == pytest.approx(want[k]) for k in got)
+    sets = spark.createDataFrame([(i, sorted(w)) for w, i in terms.items()], "id long, terms array<string>").select("id", F.transform("terms", lambda t: F.xxhash64(t)).alias("h"))
+    some = {(r.a, r.b) for r in minhash.candidates(minhash.signed(sets).withColumn("asked", F.col("id") % 5 == 0), 0.6, 7).collect()}
+    assert some >= {(a, b) for a, b in got if a % 5 == 0 or b % 5 == 0} and all(a < b and (a % 5 == 0 or b % 5 == 0) for a, b in some)
