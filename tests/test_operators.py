@@ -66,6 +66,45 @@ def test_greedy_groups_are_not_transitive(spark):
     assert sorted(map(tuple, pairs.greedy_groups(chain).collect())) == [(1, 2), (3, 4), (7, 9)]
 
 
+def slow_groups(nodes, alike):
+    taken, out = set(), []
+    for a in sorted(nodes):
+        if a not in taken:
+            new = [b for b in nodes if b > a and b not in taken and alike(a, b)]
+            taken.update(new)
+            out += [(a, b) for b in new]
+    return sorted(out)
+
+
+def test_greedy_groups_belong_to_the_least_main(spark):
+    # 3 turns out a main after 4 does, and comes before it
+    late = [(1, 2), (2, 3), (3, 5), (4, 5)]
+    assert sorted(map(tuple, pairs.greedy_groups(spark.createDataFrame(late, "a long, b long")).collect())) == [(1, 2), (3, 5)]
+    rng = random.Random(14)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)}
+    got = pairs.greedy_groups(spark.createDataFrame(sorted(edges), "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == slow_groups(range(60), lambda a, b: (a, b) in edges)
+    assert pairs.greedy_groups(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def near_texts(spark, path):
+    """documents of near and exact copies, texts without words and missing ones; (id, words) of those with words."""
+    rng = random.Random(15)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(20)] for _ in range(12)]
+    texts = [" ".join(rng.sample(b, rng.choice((13, 16, 20)))) for b in base for _ in range(5)] + [" ".join(reversed(b)) for b in base[:4] for _ in range(2)] + ["alone", "Alone.", None, "", "...", "other"]
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return {i: frozenset(t.lower().replace(".", "").split()) for i, t in enumerate(texts) if t and t.strip(".")}
+
+
+def test_dup_groups_hold_copies(spark, tmp_path):
+    from textkin.plans import catalog
+
+    words = near_texts(spark, tmp_path)
+    want = slow_groups(list(words), lambda a, b: len(words[a] & words[b]) >= 0.6 * len(words[a] | words[b]) - 1e-9)
+    assert sorted(map(tuple, catalog.queries()["dup_groups"](spark, str(tmp_path)).collect())) == want and any(words[a] == words[b] for a, b in want)
+
+
 def test_components_and_dbscan(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (6, 7), (7, 8), (3, 9)], "a long, b long").selectExpr("least(a,b) a", "greatest(a,b) b")
     assert dict(map(tuple, graph.connected_components(edges).collect())) == {2: 1, 3: 1, 9: 1, 6: 5, 7: 5, 8: 5}
