@@ -105,6 +105,20 @@ def test_dup_groups_hold_copies(spark, tmp_path):
     assert sorted(map(tuple, catalog.queries()["dup_groups"](spark, str(tmp_path)).collect())) == want and any(words[a] == words[b] for a, b in want)
 
 
+def test_best_match_may_be_a_copy(spark, tmp_path):
+    from textkin.plans import catalog
+
+    words = near_texts(spark, tmp_path)
+    want = {}
+    for a in words:
+        alike = [(-len(words[a] & words[b]) / len(words[a] | words[b]), b) for b in words if b != a]
+        score, b = min(alike)
+        if -score >= 0.6 - 1e-9:
+            want[a] = (b, round(-score, 6), 1)
+    got = {r.id: (r.other, r.score, r["rank"]) for r in catalog.queries()["best_jaccard_match"](spark, str(tmp_path)).collect()}
+    assert got == want and {s for _, s, _ in want.values()} > {1.0}
+
+
 def test_components_and_dbscan(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (6, 7), (7, 8), (3, 9)], "a long, b long").selectExpr("least(a,b) a", "greatest(a,b) b")
     assert dict(map(tuple, graph.connected_components(edges).collect())) == {2: 1, 3: 1, 9: 1, 6: 5, 7: 5, 8: 5}
