@@ -80,6 +80,17 @@ def test_hierarchy_levels_break_at_the_head(spark):
     assert got == {0: 2, 1: 2, 2: 2, 3: 3, 4: 4, 5: 4}
 
 
+def test_cluster_distances_are_of_whole_texts(spark, tmp_path):
+    from textkin.plans import catalog
+
+    start = " ".join(f"word{i}" for i in range(40))
+    texts = [f"{start} end", f"{start} end and a good deal more", f"{start} Ende, other signs {'z' * 90}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: (r.root, r.ratio) for r in catalog.queries()["cluster_distances"](spark, str(tmp_path)).collect()}
+    common = len(start) + 4
+    assert len(start) > 200 and got == {i: (0, pytest.approx(200 * n / (len(texts[0]) + len(texts[i])), abs=1e-6)) for i, n in ((1, common), (2, common - 1))}
+
+
 def test_fusion(spark):
     shape = "qid long, id long, score double, rank long"
     f = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.6, 2), (1, 3, 0.3, 3)], shape)
