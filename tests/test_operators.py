@@ -248,6 +248,40 @@ def test_density_labels_equal_dbscan_of_edges(spark, monkeypatch, least, n):
     assert sorted(map(tuple, graph.density_labels(items, "id", "v", least, n).collect())) == [(i, -1, True) if v is None else r for r, (i, v) in zip(sorted(map(tuple, want.collect())), rows, strict=True)]
 
 
+def test_density_grid_equals_dbscan_of_each_cell(spark, monkeypatch, tmp_path):
+    """Five by four cells in small pieces: clusters, noise, clusters an item by what isn't noise, and the best cell; a missing and a zero vector."""
+    from textkin.plans import catalog
+
+    rng = random.Random(16)
+    centres = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(6)]
+    rows = [(i, [c + rng.gauss(0, 0.4) for c in centres[i % 6]]) for i in range(60)] + [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60, 90)] + [(90, None), (91, [0.0] * 5)]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(graph, "BLOCK", 9)
+    monkeypatch.setattr(graph, "PIECE", 40)
+    leasts, numbers, want = (0.75, 0.8, 0.85, 0.9, 0.95), (2, 3, 4, 5), {}
+    pairs_at = {(r.a, r.b): r.cosine for r in graph.near_vectors(items, "vec_id", "embedding", leasts[0]).collect()}
+    near = {least: {i: {a + b - i for (a, b), c in pairs_at.items() if c >= least and i in (a, b)} for i, _ in rows} for least in leasts}
+    for least in leasts:
+        for n in numbers:
+            cores = {i for i, met in near[least].items() if len(met) + 1 >= n}
+            left, clusters = set(cores), 0
+            while left:
+                clusters, front = clusters + 1, {left.pop()}
+                while front:
+                    front = set().union(*(near[least][i] for i in front)) & left
+                    left -= front
+            noise = sum(i not in cores and not near[least][i] & cores for i in near[least]) / len(rows)
+            want[least, n] = (clusters, pytest.approx(noise), pytest.approx(clusters / len(rows) * (1 - noise)))
+    got = graph.density_grid(items, "vec_id", "embedding", leasts, numbers, (0.99, 2)).collect()
+    assert {(r.least_cosine, r.min_samples): (r.clusters, r.noise, r.quality) for r in got} == want and len(got) == 20
+    best = max(got, key=lambda r: (r.quality, r.least_cosine, -r.min_samples))
+    assert [r for r in got if r.chosen] == [best] and len({r.clusters for r in got}) > 5
+    apart = spark.createDataFrame([(i, [float(i == k) for k in range(4)]) for i in range(4)], items.schema)
+    apart.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, catalog.queries()["dbscan_grid"](spark, str(tmp_path)).collect()))
+    assert len(got) == 21 and [r for r in got if r[5]] == [(0.7, 2, 0, 1.0, 0.0, True)] and {r[2:5] for r in got} == {(0, 1.0, 0.0)}
+
+
 def test_nearest_equals_brute_force(spark, monkeypatch):
     """Exact in small pieces, with ties, a zero vector and fewer vectors than asked for."""
     rng = random.Random(6)
